@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pitmanyor, quality, secrets, simhash, tokens, urls
+from factloom import on_workers
+
+from . import decontaminate, html, langid, mixing, pitmanyor, quality, secrets, simhash, tokens, urls
 from .shared import documents
 
 
@@ -17,6 +19,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on_workers(spark)
+    return html.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -54,6 +61,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op4_decontamination, op5_tokens, op6_urls, op7_pitmanyor, op8_secrets, op9_langid, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_html, op4_decontamination, op5_tokens, op6_urls, op7_pitmanyor, op8_secrets, op9_langid, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
