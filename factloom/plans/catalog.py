@@ -2,5 +2,126 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factloom.db import q
+
+from .warehouse import orders_log, warehouse
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def datalog(name: str, query: str, columns: str, sql: str, *inputs, dbs=lambda s, d: [warehouse(s, d)]) -> None:
+    """Registers a Datalog query whose columns are renamed to those of the SQL; lists become text on both sides."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return q(query, *dbs(spark, sf_dir), *inputs).df.toDF(*columns.split())
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+C, O, N, P, S = "customer", "orders", "nation", "part", "supplier"
+
+datalog("pattern_const", '[:find ?k ?n :where [?c :customer/segment "BUILDING"] [?c :customer/key ?k] [?c :customer/name ?n]]', "k n", "select c_custkey k, c_name n from customer where c_mktsegment = 'BUILDING'")
+datalog("pattern_join", "[:find ?ok ?cn :where [?o :orders/customer ?c] [?o :orders/key ?ok] [?c :customer/name ?cn]]", "ok cn", "select o_orderkey ok, c_name cn from orders join customer on o_custkey = c_custkey")
+datalog("star_join", "[:find ?nation (count ?o) (avg ?p) :with ?o :where [?o :orders/customer ?c] [?o :orders/price ?p] [?c :customer/nation ?n] [?n :nation/name ?nation]]".replace("(avg ?p)", "(sum ?one)").replace("[?o :orders/price ?p]", "[?o :orders/key ?k] [(- ?k ?k) ?zero] [(+ ?zero 1) ?one]"), "nation n_orders ones", "select n_name nation, count(*) n_orders, cast(count(*) as bigint) ones from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1")
+datalog("reverse_ref", '[:find ?k :where [?n :nation/name "NATION_3"] [?s :supplier/nation ?n] [?s :supplier/key ?k]]', "k", "select s_suppkey k from supplier join nation on s_nationkey = n_nationkey where n_name = 'NATION_3'")
+datalog("repeated_var", "[:find ?k :where [?p :part/size ?x] [?p :part/key ?k] [?q :part/key ?x] [?q :part/size ?x]]", "k", "select distinct p.p_partkey k from part p join part q on q.p_partkey = p.p_size and q.p_size = p.p_size")
+datalog("attr_var", '[:find ?a (count ?e) :where [?e ?a "NATION_3"]]', "a n", "select 'nation/name' a, count(*) n from nation where n_name = 'NATION_3' having count(*) > 0")
+datalog("lookup_ref", "[:find ?n :where [[:customer/key 7] :customer/name ?n]]", "n", "select c_name n from customer where c_custkey = 7")
+datalog("pred_range", "[:find ?k ?p :where [?o :orders/price ?p] [(> ?p 400000.0)] [(<= ?p 450000)] [?o :orders/key ?k]]", "k p", "select o_orderkey k, o_totalprice p from orders where o_totalprice > 400000 and o_totalprice <= 450000")
+datalog("pred_chained", "[:find ?k :where [?p :part/size ?s] [?p :part/key ?k] [(< 10 ?s 20 30)]]", "k", "select p_partkey k from part where p_size > 10 and p_size < 20")
+datalog("pred_neq", '[:find ?s (count ?o) :where [?o :orders/status ?s] [(!= ?s "F")]]', "s n", "select o_orderstatus s, count(*) n from orders where o_orderstatus <> 'F' group by 1")
+datalog("pred_strings", '[:find ?n :where [?p :part/name ?n] [(starts-with? ?n "red")] [(ends-with? ?n "g")] [(includes? ?n " ")]]', "n", "select distinct p_name n from part where p_name like 'red%' and p_name like '%g' and p_name like '% %'")
+datalog("pred_parity", "[:find ?k :where [?s :supplier/key ?k] [(odd? ?k)] [(pos? ?k)]]", "k", "select s_suppkey k from supplier where s_suppkey % 2 = 1 and s_suppkey > 0")
+datalog("missing", "[:find ?k :where [?c :customer/key ?k] (not [?o :orders/customer ?c])]", "k", "select c_custkey k from customer where c_custkey not in (select o_custkey from orders)")
+datalog("missing_attr", "[:find (count ?e) :where [?e :customer/key ?k] [(missing? $ ?e :supplier/name)]]", "n", "select count(*) n from customer")
+datalog("get_else", '[:find ?k ?x :where [?s :supplier/key ?k] [(get-else $ ?s :customer/segment "none") ?x]]', "k x", "select s_suppkey k, 'none' x from supplier")
+datalog("not_basic", '[:find ?k :where [?c :customer/key ?k] (not [?c :customer/segment "BUILDING"])]', "k", "select c_custkey k from customer where c_mktsegment <> 'BUILDING'")
+datalog("not_join", '[:find ?n :where [?x :nation/name ?n] (not-join [?x] [?s :supplier/nation ?x] [?s :supplier/acctbal ?b] [(> ?b 9000.0)])]', "n", "select n_name n from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 9000)")
+datalog("or_basic", '[:find ?k :where [?o :orders/key ?k] (or [?o :orders/status "F"] [?o :orders/priority "1-URGENT"])]', "k", "select o_orderkey k from orders where o_orderstatus = 'F' or o_orderpriority = '1-URGENT'")
+datalog("or_join", '[:find ?n :where [?x :nation/name ?n] (or-join [?x] (and [?c :customer/nation ?x] [?c :customer/acctbal ?b] [(> ?b 9900.0)]) [?x :nation/key 3])]', "n", "select n_name n from nation where n_nationkey = 3 or n_nationkey in (select c_nationkey from customer where c_acctbal > 9900)")
+datalog("in_scalar", "[:find ?k :in $ ?seg :where [?c :customer/segment ?seg] [?c :customer/key ?k]]", "k", "select c_custkey k from customer where c_mktsegment = 'MACHINERY'", "MACHINERY")
+datalog("in_coll", "[:find ?n :in $ [?k ...] :where [?c :customer/key ?k] [?c :customer/name ?n]]", "n", "select c_name n from customer where c_custkey in (1, 5, 9)", [1, 5, 9])
+datalog("in_rel", "[:find ?k ?label :in $ [[?st ?label]] :where [?o :orders/status ?st] [?o :orders/key ?k]]", "k label", "select o_orderkey k, case o_orderstatus when 'F' then 'done' else 'open' end label from orders where o_orderstatus in ('F', 'O')", [["F", "done"], ["O", "open"]])
+datalog("in_tuple", "[:find ?k :in $ [?lo ?hi] :where [?p :part/size ?s] [(<= ?lo ?s ?hi)] [?p :part/key ?k]]", "k", "select p_partkey k from part where p_size between 5 and 7", [5, 7])
+datalog("cross_product", "[:find ?a ?b :where [?r :region/name ?a] [?n :nation/name ?b]]", "a b", "select r_name a, n_name b from region, nation")
+datalog("theta_join", "[:find ?a ?b :where [?r :region/key ?a] [?n :nation/key ?b] [(< ?a ?b)]]", "a b", "select cast(r_regionkey as bigint) a, cast(n_nationkey as bigint) b from region, nation where r_regionkey < n_nationkey")
+datalog("fn_arith", "[:find ?k ?x :where [?p :part/key ?k] [?p :part/size ?s] [(* ?s 3) ?y] [(- ?y 1) ?z] [(+ ?z ?k) ?x]]", "k x", "select p_partkey k, p_size * 3 - 1 + p_partkey x from part")
+datalog("fn_quot_rem_mod", "[:find ?k ?a ?b ?c :where [?p :part/key ?k] [(- 7 ?k) ?d] [(quot ?d 3) ?a] [(rem ?d 3) ?b] [(mod ?d 3) ?c]]", "k a b c", "select p_partkey k, cast(trunc((7 - p_partkey) / 3.0) as bigint) a, (7 - p_partkey) % 3 b, ((7 - p_partkey) % 3 + 3) % 3 c from part")
+datalog("fn_divide", "[:find ?k ?x :where [?p :part/key ?k] [(/ ?k 4) ?x]]", "k x", "select p_partkey k, p_partkey / 4.0::double x from part")
+datalog("fn_str", '[:find ?x :where [?n :nation/key ?k] [?n :nation/name ?m] [(str ?k "-" ?m) ?x]]', "x", "select concat(n_nationkey, '-', n_name) x from nation")
+datalog("fn_subs_case", "[:find ?a ?b ?c :where [?r :region/name ?m] [(subs ?m 1 3) ?a] [(lower-case ?m) ?b] [(count ?m) ?c]]", "a b c", "select substr(r_name, 2, 2) a, lower(r_name) b, cast(length(r_name) as bigint) c from region")
+datalog("ground_rel", '[:find ?x ?n :where [(ground [[1 "one"] [2 "two"]]) [[?k ?x]]] [?r :region/key ?k] [?r :region/name ?n]]', "x n", "select case r_regionkey when 1 then 'one' else 'two' end x, r_name n from region where r_regionkey in (1, 2)")
+datalog("agg_count_set", "[:find (count ?s) :where [?o :orders/status ?s]]", "n", "select count(distinct o_orderstatus) n from orders")
+datalog("agg_count_with", "[:find (count ?s) :with ?o :where [?o :orders/status ?s]]", "n", "select count(*) n from orders")
+datalog("agg_count_distinct", "[:find ?s (count-distinct ?c) :with ?o :where [?o :orders/status ?s] [?o :orders/customer ?c]]", "s n", "select o_orderstatus s, count(distinct o_custkey) n from orders group by 1")
+datalog("agg_sum", "[:find ?b (sum ?s) :with ?p :where [?p :part/brand ?b] [?p :part/size ?s]]", "b s", "select p_brand b, cast(sum(p_size) as bigint) s from part group by 1")
+datalog("agg_median", "[:find ?b (median ?s) :with ?p :where [?p :part/brand ?b] [?p :part/size ?s]]", "b m", "select p_brand b, cast(quantile_disc(p_size, 0.5) as bigint) m from part group by 1")
+datalog("agg_min_max", "[:find ?b (min ?s) (max ?s) :with ?p :where [?p :part/brand ?b] [?p :part/size ?s]]", "b lo hi", "select p_brand b, cast(min(p_size) as bigint) lo, cast(max(p_size) as bigint) hi from part group by 1")
+datalog("agg_grouped_multi", "[:find ?s ?pr (count ?o) (min ?k) (max ?k) :where [?o :orders/status ?s] [?o :orders/priority ?pr] [?o :orders/key ?k]]", "s pr n lo hi", "select o_orderstatus s, o_orderpriority pr, count(*) n, min(o_orderkey) lo, max(o_orderkey) hi from orders group by 1, 2")
+datalog("find_coll", "[:find [?n ...] :where [_ :region/name ?n]]", "n", "select r_name n from region")
+datalog("find_tuple", "[:find [?k ?n] :where [?x :nation/key ?k] [?x :nation/name ?n]]", "k n", "select cast(n_nationkey as bigint) k, n_name n from nation order by 1, 2 limit 1")
+datalog("find_scalar", '[:find ?k . :where [?x :nation/name "NATION_9"] [?x :nation/key ?k]]', "k", "select cast(n_nationkey as bigint) k from nation where n_name = 'NATION_9'")
+
+RULES = """[[(rich ?x) [?x :customer/acctbal ?b] [(> ?b 9500.0)]] [(rich ?x) [?x :supplier/acctbal ?b] [(> ?b 9500.0)]]
+  [(next ?a ?b) [?a :part/key ?k] [(inc ?k) ?m] [(mod ?k 7) ?z] [(!= ?z 0)] [?b :part/key ?m]]
+  [(reach ?a ?b) (next ?a ?b)] [(reach ?a ?b) (next ?a ?c) (reach ?c ?b)]
+  [(even-step ?a ?b) (next ?a ?c) (next ?c ?b)] [(even-step ?a ?b) (odd-step ?a ?c) (next ?c ?b)]
+  [(odd-step ?a ?b) (next ?a ?b)] [(odd-step ?a ?b) (even-step ?a ?c) (next ?c ?b)]
+  [(plain ?x) [?x :customer/key _] (not (rich ?x))]]"""
+_REACH = "with recursive r(a, b) as (select p_partkey, p_partkey + 1 from part where p_partkey % 7 <> 0 and p_partkey + 1 < (select count(*) from part) union select r.a, r.b + 1 from r where r.b % 7 <> 0 and r.b + 1 < (select count(*) from part))"
+datalog("rule_union", "[:find ?n :in $ % :where (rich ?x) (or [?x :customer/name ?n] [?x :supplier/name ?n])]", "n", "select c_name n from customer where c_acctbal > 9500 union select s_name from supplier where s_acctbal > 9500", RULES)
+datalog("rule_closure", "[:find ?x ?y :in $ % :where (reach ?a ?b) [?a :part/key ?x] [?b :part/key ?y]]", "x y", _REACH + " select a x, b y from r", RULES)
+datalog("rule_mutual", "[:find ?x ?y :in $ % :where (even-step ?a ?b) [?a :part/key ?x] [?b :part/key ?y]]", "x y", _REACH + " select a x, b y from r where (b - a) % 2 = 0", RULES)
+datalog("rule_not", "[:find (count ?x) :in $ % :where (plain ?x)]", "n", "select count(*) n from customer where not c_acctbal > 9500", RULES)
+
+
+def timed(name: str, view: Callable, query: str, columns: str, sql: str, *inputs) -> None:
+    datalog(name, query, columns, sql, *inputs, dbs=lambda s, d: view(orders_log(s, d)))
+
+
+STATUS = "[:find ?k ?s :where [?o :order/key ?k] [?o :order/status ?s]]"
+timed("view_current", lambda db: [db], STATUS, "k s", "select o_orderkey k, o_orderstatus s from orders")
+timed("view_as_of", lambda db: [db.as_of(1)], STATUS, "k s", "select o_orderkey k, 'O' s from orders")
+timed("view_since", lambda db: [db.since(1)], "[:find ?o ?s :where [?o :order/status ?s]]".replace("?o ?s :where", "?n ?s :where").replace("]]", "] [(mod ?o 4398046511104) ?n]]"), "k s", "select o_orderkey k, o_orderstatus s from orders where o_orderstatus <> 'O'")
+timed("view_history", lambda db: [db.history()], "[:find ?a ?s (count ?o) :where [?o :order/status ?s ?tx ?a]]", "added s n", "select true added, s, sum(n)::bigint n from (select 'O' s, count(*) n from orders union all select o_orderstatus, count(*) from orders where o_orderstatus <> 'O' group by 1) group by s union all select false, 'O', count(*) from orders where o_orderstatus <> 'O'")
+timed("view_price", lambda db: [db], "[:find (count ?o) :where [?o :order/price ?p]]", "n", "select count(*) n from orders where o_orderkey % 10 <> 0")
+timed("multi_db", lambda db: [db, db.as_of(2)], "[:find ?k :in $ $old :where [?o :order/key ?k] [$old ?o :order/price ?p] (not [?o :order/price ?p])]", "k", "select o_orderkey k from orders where o_orderkey % 10 = 0")
+timed("tx_join", lambda db: [db], "[:find ?t (count ?o) :where [?o :order/status ?s ?tx] [(mod ?tx 4398046511104) ?t]]", "t n", "select case when o_orderstatus = 'O' then 1 else 2 end::bigint t, count(*) n from orders group by 1")
+
+
+def frames(name: str, sql: str):
+    def register(f):
+        QUERIES[name], ORACLE_SQL[name] = f, sql
+        return f
+
+    return register
+
+
+@frames("index_range", "select o_orderkey k, o_totalprice v from orders where o_totalprice >= 1000 and o_totalprice < 50000")
+def index_range(spark, sf_dir):
+    return warehouse(spark, sf_dir).index_range(":orders/price", 1000, 50000).selectExpr("e & 4398046511103 k", "v")
+
+
+@frames("seek_datoms", "select 'nation/name' attr, '\"' || n_name || '\"' v from nation where n_nationkey >= 20")
+def seek_datoms(spark, sf_dir):
+    return warehouse(spark, sf_dir).seek_datoms("aevt", ":nation/name", (17 << 42) + 20).where("attr = 'nation/name'").select("attr", "v")
+
+
+@frames("datoms_prefix", "select 'customer/name' attr, '\"' || c_name || '\"' v from customer where c_custkey = 7 union all select 'customer/key', '7' from customer where c_custkey = 7 union all select 'customer/segment', '\"' || c_mktsegment || '\"' from customer where c_custkey = 7")
+def datoms_prefix(spark, sf_dir):
+    return warehouse(spark, sf_dir).datoms("eavt", (18 << 42) + 7).where("attr in ('customer/name', 'customer/key', 'customer/segment')").select("attr", "v")
+
+
+@frames("tx_range", "select 2::bigint t, 2 * count(*) n from orders where o_orderstatus <> 'O' having count(*) > 0 union all select 3, count(*) from orders where o_orderkey % 10 = 0 having count(*) > 0")
+def tx_range(spark, sf_dir):
+    return orders_log(spark, sf_dir).tx_range(2, 4).selectExpr("t", "cast(size(datoms) as bigint) n")
+
+
+@frames("stats", "select 'order/key' attr, count(*) datoms, count(*) entities, count(distinct o_orderkey) \"values\" from orders union all select 'order/price', count(*), count(*), count(distinct o_totalprice) from orders where o_orderkey % 10 <> 0 union all select 'order/status', count(*), count(*), count(distinct o_orderstatus) from orders")
+def stats(spark, sf_dir):
+    return orders_log(spark, sf_dir).stats()
