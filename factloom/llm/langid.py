@@ -30,7 +30,7 @@ CHUNK = 1 << 18
 
 @dataclass
 class Model:
-    """langs: names; code: a number for each byte (0: never seen); state: of each context; cost: bits by state, byte, language."""
+    """langs: names; code: a number for each byte; state: of each context; cost: bits by state, byte, language."""
 
     langs: list[str]
     code: np.ndarray
@@ -91,9 +91,9 @@ def build(langs: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
     names = sorted(set(langs.tolist()))
     digits = grams[:, None] // 257 ** np.arange(ORDER, -1, -1)[None, :] % 257  # oldest first; the last is the byte itself
     seen = np.unique(digits[digits > 0]) - 1
-    code = np.zeros(256, np.uint8 if len(seen) < 255 else np.uint16)
+    size = len(seen) + 2  # 0 is before the start, the last is any byte never seen
+    code = np.full(256, size - 1, np.uint16)
     code[seen] = np.arange(1, len(seen) + 1)
-    size = len(seen) + 1
     small = np.where(digits > 0, code[np.maximum(digits, 1) - 1], 0).astype(np.int64)
     context = np.zeros(len(grams), np.int64)
     for k in range(ORDER):

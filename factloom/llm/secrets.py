@@ -121,7 +121,8 @@ def scanned(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     out = with_spans(docs, train(labelled(docs, rows)))
-    n = [F.size(F.filter("__fl_base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    ranks = F.transform("__fl_base", lambda s: s["rank"])
+    n = [F.size(F.filter(ranks, (lambda k: lambda r: r == k)(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *n, F.sha2(_listed("__fl_base"), 256).alias("base_sha256"), _listed("__fl_spans").alias("spans"))
 
 

@@ -27,16 +27,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Tables of written() that no one has dropped, for released().
+_made: list[DataFrame] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fl_path = path
+    if not keep:
+        _made.append(out)
     return out
 
 
+def released() -> None:
+    """Deletes what written() has made without keep; only call it when all that was derived from it is stored."""
+    while _made:
+        dropped(_made.pop())
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     path = getattr(df, "_fl_path", None)
@@ -54,3 +66,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_id() -> F.Column:
     """An id for a row, whatever its doc_id; only use it on what is then written()."""
     return F.monotonically_increasing_id()
+
+
+def begin(spark: SparkSession) -> None:
+    """The start of a pipeline's stage: the rows of the stage before are stored, so its own tables can go."""
+    on_workers(spark)
+    released()
