@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.db import q
+from factloom.operators import impact
 
+from .sql import SqlSession
 from .warehouse import orders_log, warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +127,23 @@ def tx_range(spark, sf_dir):
 @frames("stats", "select 'order/key' attr, count(*) datoms, count(*) entities, count(distinct o_orderkey) \"values\" from orders union all select 'order/price', count(*), count(*), count(distinct o_totalprice) from orders where o_orderkey % 10 <> 0 union all select 'order/status', count(*), count(*), count(distinct o_orderstatus) from orders")
 def stats(spark, sf_dir):
     return orders_log(spark, sf_dir).stats()
+
+
+@frames("sql_wide_scan", "select n_name name, count(*) n, round(sum(c_acctbal), 2) total from customer join nation on c_nationkey = n_nationkey where c_mktsegment = 'BUILDING' group by 1")
+def sql_wide_scan(spark, sf_dir):
+    return SqlSession(warehouse(spark, sf_dir)).query("select n.name, count(*) n, round(sum(c.acctbal), 2) total from customer c join nation n on c.nation = n.e where c.segment = $1 group by n.name", "BUILDING")
+
+
+@frames("sql_sys_datoms", "select 'nation/name' attr, count(*) n from nation union all select 'region/name', count(*) from region")
+def sql_sys_datoms(spark, sf_dir):
+    return SqlSession(warehouse(spark, sf_dir)).query("select attr, count(*) n from sys.datoms where attr in ('nation/name', 'region/name') group by attr")
+
+
+@frames("impact_counts", "select count(*) datoms, count(*) entities, count(distinct o_orderpriority) \"values\" from orders")
+def impact_counts(spark, sf_dir):
+    return impact.attribute_impact(warehouse(spark, sf_dir), "orders/priority")
+
+
+@frames("impact_duplicates", "select c_mktsegment v, count(*) n from customer group by 1 having count(*) > 1")
+def impact_duplicates(spark, sf_dir):
+    return impact.duplicate_values(warehouse(spark, sf_dir), "customer/segment")
