@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,64 @@ from factloom.db import Db
 from factloom.plans.parse import QueryError
 from factloom.schema import TYPES
 
-_SKIP = re.compile(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"|--[^\n]*|/\*.*?\*/)", re.S)
+_TOKEN = re.compile(r"'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"|--[^\n]*|/\*.*?\*/|\$\d+|\w+|\s+|.", re.S)
 _WRITES = re.compile(r"^\s*(insert|update|delete|merge|create|drop|alter|truncate|replace|grant|set|use|cache|refresh|load)\b", re.I)
 
 
+@dataclass(frozen=True, eq=False)
+class Token:
+    text: str
+    depth: int  # brackets around it; a bracket has that of what is outside
+
+
+def tokens(sql: str) -> list[Token]:
+    """Words, quoted parts, blanks and single signs; comments are blanks."""
+    out, depth = [], 0
+    for m in _TOKEN.finditer(sql):
+        x = m.group()
+        depth -= x in (")", "]")
+        out.append(Token(" " if x.startswith(("--", "/*")) else x, depth))
+        depth += x in ("(", "[")
+    return out
+
+
+def name_of(t: Token) -> str:
+    """A name as written if it is quoted, else in lower case."""
+    if t.text[0] in "\"`":
+        return t.text[1:-1]
+    if not re.fullmatch(r"\w+", t.text):
+        raise QueryError(f"{t.text} isn't a name")
+    return t.text.lower()
+
+
+def _spoken(sql: str) -> str:
+    """The caller's dialect in Spark's: $1, ARRAY[...], array_has, sys.datoms and names in double quotes."""
+    found, out, arrays, i = tokens(sql), [], [], 0
+    while i < len(found):
+        t, after = found[i], found[i + 1].text if i + 1 < len(found) else ""
+        word = t.text.lower()
+        if t.text[0] == "$" and len(t.text) > 1:
+            out.append(f":p{t.text[1:]}")
+        elif t.text[0] == '"' and len(t.text) > 1:
+            out.append(f"`{t.text[1:-1]}`")
+        elif word == "array" and after == "[":
+            out.append("array(")
+            arrays.append(t.depth)
+            i += 1
+        elif t.text == "]" and arrays and arrays[-1] == t.depth:
+            out.append(")")
+            arrays.pop()
+        elif word == "array_has":
+            out.append("array_contains")
+        elif word == "sys" and after == "." and i + 2 < len(found) and found[i + 2].text.lower() in ("datoms", "attributes", "idents"):
+            out.append(f"sys_{found[i + 2].text.lower()}")
+            i += 2
+        else:
+            out.append(t.text)
+        i += 1
+    return "".join(out)
+
+
 class SqlSession:
     """One database value as views in a session of its own: <namespace>, _global, sys_datoms, sys_attributes and sys_idents."""
 
@@ -81,16 +136,7 @@ class SqlSession:
         """A SELECT; $1, $2 ... are params; array_has, ARRAY[...] and sys.datoms are understood."""
         if _WRITES.match(sql):
             raise QueryError("only queries are allowed here")
-        parts = _SKIP.split(sql)
-        for i in range(0, len(parts), 2):
-            x = re.sub(r"\$(\d+)", r":p\1", parts[i])
-            x = re.sub(r"\barray_has\s*\(", "array_contains(", x, flags=re.I)
-            x = re.sub(r"\bARRAY\s*\[([^\]]*)\]", r"array(\1)", x, flags=re.I)
-            parts[i] = re.sub(r"\bsys\.(datoms|attributes|idents)\b", r"sys_\1", x, flags=re.I)
-        for i in range(1, len(parts), 2):
-            if parts[i][0] == '"':
-                parts[i] = f"`{parts[i][1:-1]}`"
-        return self.spark.sql("".join(parts), args={f"p{k}": v for k, v in enumerate(params, 1)})
+        return self.spark.sql(_spoken(sql), args={f"p{k}": v for k, v in enumerate(params, 1)})
 
     def tables(self) -> list[str]:
         return [*self.namespaces, "sys_datoms", "sys_attributes", "sys_idents"]

@@ -8,6 +8,7 @@ import pytest
 
 from factloom import edn
 from factloom.edn import Keyword as K
+from factloom.plans.mutation import execute
 from factloom.plans.parse import QueryError, parse
 from factloom.plans.sql import SqlSession
 from factloom.schema import Attribute, Schema
@@ -88,6 +89,37 @@ def test_sql(conn):
         session.query("delete from p")
 
 
+def test_sql_writes(spark, tmp_path):
+    c = Connection(spark, str(tmp_path / "w"), SCHEMA)
+    made = execute(c, "INSERT INTO p (name, age, nick, role, score) VALUES ($1, 30, ARRAY['x', 'y'], ':r/boss', 1.5), ('B;b', NULL, NULL, NULL, 2) RETURNING name, nick", "Ann")
+    assert made.affected == 2 and sorted(map(tuple, made.returning.collect())) == [("Ann", ["x", "y"]), ("B;b", [])]
+    rows = lambda: [tuple(r) for r in SqlSession(c.db()).query("select name, age, nick, role, score from p order by name").collect()]
+    assert rows() == [("Ann", 30, ["x", "y"], ":r/boss", 1.5), ("B;b", None, [], None, 2.0)]
+    done = execute(c, "update p set age = coalesce(age, 0) + 1, nick = array['z'], role = null where name like '%b' or age > $1 returning age", 29)
+    assert done.affected == 2 and sorted(r[0] for r in done.returning.collect()) == [1, 31]
+    assert rows() == [("Ann", 31, ["z"], None, 1.5), ("B;b", 1, ["z"], None, 2.0)]
+    execute(c, "insert into p (name, age) select name || '2', age + 1 from p where age = 1; -- one more")
+    execute(c, "insert into p (name, age) values ('Ann', 5), ('New', 6)")  # a unique identity that is there is the same entity
+    assert [r[:2] for r in rows()] == [("Ann", 5), ("B;b", 1), ("B;b2", 2), ("New", 6)]
+    gone = execute(c, "delete from p where age >= 5 returning name, age")
+    assert gone.affected == 2 and sorted(map(tuple, gone.returning.collect())) == [("Ann", 5), ("New", 6)]
+    assert [r[0] for r in rows()] == ["B;b", "B;b2"]
+    e = SqlSession(c.db()).query("select e from p where name = 'B;b'").first()[0]
+    assert execute(c, "update p set age = 9 where false").affected == 0
+    for bad in ("insert into p values ('q')", "insert into p (name, name) values ('q', 'r')", "insert into p (name) values (null)", f"insert into p (e, age) values ({e}, 4)", "update p set e = 1",
+                "update p set age = 'old'", "update p set name = 'one'", "update p set nope = 1", "delete from p using q", "delete from p order by age", "update p x set age = 1", "delete from sys.datoms",
+                "insert into p (name) values ('a') on conflict do nothing", "select 1", "delete from p; delete from p"):
+        with pytest.raises((QueryError, TxError)):
+            execute(c, bad)
+    for db in (c.db().as_of(1), c.db().hiding([":p/age"])):
+        with pytest.raises(QueryError):
+            execute(c, "delete from p", db=db)
+    stale = c.db()
+    execute(c, "update p set age = 7 where name = 'B;b'")
+    with pytest.raises(BasisMismatch):
+        execute(c, "update p set age = 8", db=stale)
+
+
 def test_transactions(spark, tmp_path):
     c = Connection(spark, str(tmp_path / "f"), SCHEMA)
     first = c.transact('[{:db/id "a" :p/name "Z" :p/age 1 :p/part ["q"]} {:db/id "q" :p/name "Q"}]')
