@@ -65,6 +65,8 @@ datalog("agg_sum", "[:find ?b (sum ?s) :with ?p :where [?p :part/brand ?b] [?p :
 datalog("agg_median", "[:find ?b (median ?s) :with ?p :where [?p :part/brand ?b] [?p :part/size ?s]]", "b m", "select p_brand b, cast(quantile_disc(p_size, 0.5) as bigint) m from part group by 1")
 datalog("agg_min_max", "[:find ?b (min ?s) (max ?s) :with ?p :where [?p :part/brand ?b] [?p :part/size ?s]]", "b lo hi", "select p_brand b, cast(min(p_size) as bigint) lo, cast(max(p_size) as bigint) hi from part group by 1")
 datalog("agg_grouped_multi", "[:find ?s ?pr (count ?o) (min ?k) (max ?k) :where [?o :orders/status ?s] [?o :orders/priority ?pr] [?o :orders/key ?k]]", "s pr n lo hi", "select o_orderstatus s, o_orderpriority pr, count(*) n, min(o_orderkey) lo, max(o_orderkey) hi from orders group by 1, 2")
+datalog("or_and", '[:find ?k :where [?o :orders/key ?k] (or (and [?o :orders/status "F"] [?o :orders/priority "1-URGENT"]) (and [?o :orders/status "O"] [?o :orders/priority "5-LOW"]))]', "k", "select o_orderkey k from orders where (o_orderstatus = 'F' and o_orderpriority = '1-URGENT') or (o_orderstatus = 'O' and o_orderpriority = '5-LOW')")
+datalog("agg_sum_avg", "[:find ?b (sum ?s) (avg ?s) :with ?p :where [?p :part/brand ?b] [?p :part/size ?s]]", "b s a", "select p_brand b, cast(sum(p_size) as bigint) s, avg(cast(p_size as double)) a from part group by 1")
 datalog("find_coll", "[:find [?n ...] :where [_ :region/name ?n]]", "n", "select r_name n from region")
 datalog("find_tuple", "[:find [?k ?n] :where [?x :nation/key ?k] [?x :nation/name ?n]]", "k n", "select cast(n_nationkey as bigint) k, n_name n from nation order by 1, 2 limit 1")
 datalog("find_scalar", '[:find ?k . :where [?x :nation/name "NATION_9"] [?x :nation/key ?k]]', "k", "select cast(n_nationkey as bigint) k from nation where n_name = 'NATION_9'")
@@ -82,6 +84,10 @@ datalog("rule_mutual", "[:find ?x ?y :in $ % :where (even-step ?a ?b) [?a :part/
 datalog("rule_not", "[:find (count ?x) :in $ % :where (plain ?x)]", "n", "select count(*) n from customer where not c_acctbal > 9500", RULES)
 
 
+datalog("rule_alias", "[:find ?n :in $ % :where (named ?x ?n) [?x :nation/region ?r] [?r :region/key 1]]", "n", "select n_name n from nation where n_regionkey = 1", "[[(named ?e ?name) [?e :nation/name ?name]]]")
+datalog("rule_required", "[:find ?n ?k :in $ % ?k :where (of ?k ?n)]", "n k", "select n_name n, cast(3 as bigint) k from nation where n_nationkey = 3", "[[(of [?k] ?n) [?x :nation/key ?k] [?x :nation/name ?n]]]", 3)
+
+
 def timed(name: str, view: Callable, query: str, columns: str, sql: str, *inputs) -> None:
     datalog(name, query, columns, sql, *inputs, dbs=lambda s, d: view(orders_log(s, d)))
 
@@ -147,3 +153,58 @@ def impact_counts(spark, sf_dir):
 @frames("impact_duplicates", "select c_mktsegment v, count(*) n from customer group by 1 having count(*) > 1")
 def impact_duplicates(spark, sf_dir):
     return impact.duplicate_values(warehouse(spark, sf_dir), "customer/segment")
+
+
+def listed(name: str, find: str, sql: str) -> None:
+    """Registers an aggregate of part sizes by brand that gives a list, as text on both sides."""
+
+    def run(spark, sf_dir):
+        df = q(f"[:find ?b {find} :where [?p :part/brand ?b] [?p :part/size ?s]]", warehouse(spark, sf_dir)).df.toDF("b", "l")
+        return df.selectExpr("b", "array_join(l, ',') l")
+
+    QUERIES[name], ORACLE_SQL[name] = run, f"select p_brand b, array_to_string({sql}, ',') l from part group by 1"
+
+
+SIZES = "list_sort(list(distinct p_size))"
+listed("agg_min_n", "(min 3 ?s)", f"{SIZES}[1:3]")
+listed("agg_max_n", "(max 3 ?s)", f"{SIZES}[-3:]")
+listed("agg_sample", "(sample 2 ?s)", f"{SIZES}[1:2]")
+listed("agg_distinct", "(distinct ?s)", SIZES)
+
+
+@frames("agg_var_std", "select p_brand b, round(var_pop(p_size), 6) v, round(stddev_pop(p_size), 6) d from part group by 1")
+def agg_var_std(spark, sf_dir):
+    df = q("[:find ?b (variance ?s) (stddev ?s) :with ?p :where [?p :part/brand ?b] [?p :part/size ?s]]", warehouse(spark, sf_dir)).df
+    return df.toDF("b", "v", "d").selectExpr("b", "round(v, 6) v", "round(d, 6) d")
+
+
+@frames("impact_cardinality", "select o_orderkey k, 2::bigint n from orders where false")
+def impact_cardinality(spark, sf_dir):
+    """No order has two statuses at once, though many have had two."""
+    return impact.cardinality_conflicts(orders_log(spark, sf_dir), "order/status").selectExpr("e & 4398046511103 k", "n")
+
+
+@frames("impact_live_refs", "select count(*) refs from orders")
+def impact_live_refs(spark, sf_dir):
+    return impact.live_refs(warehouse(spark, sf_dir), "orders/customer")
+
+
+@frames("impact_history", "select sum(n)::bigint datoms, sum(a)::bigint assertions from (select count(*) n, count(*) a from orders union all select 2 * count(*), count(*) from orders where o_orderstatus <> 'O')")
+def impact_history(spark, sf_dir):
+    return impact.history_impact(orders_log(spark, sf_dir), "order/status")
+
+
+@frames("sql_rollup", "select r.r_name region, n.n_name nation, count(*) n from nation n join region r on n_regionkey = r_regionkey group by rollup(r.r_name, n.n_name)")
+def sql_rollup(spark, sf_dir):
+    return SqlSession(warehouse(spark, sf_dir)).query("select r.name region, n.name nation, count(*) n from nation n join region r on n.region = r.e group by rollup(r.name, n.name)")
+
+
+@frames("sql_window", "select p_partkey k, cast(row_number() over (partition by p_brand order by p_size, p_partkey) as bigint) place from part qualify place <= 3")
+def sql_window(spark, sf_dir):
+    return SqlSession(warehouse(spark, sf_dir)).query("select k, place from (select key k, cast(row_number() over (partition by brand order by size, key) as bigint) place from part) x where place <= 3")
+
+
+@frames("sql_set_ops", "select n_nationkey::bigint k from nation intersect select s_nationkey from supplier except select c_nationkey from customer where c_acctbal > 9900")
+def sql_set_ops(spark, sf_dir):
+    sql = "select n.e & 4398046511103 k from nation n intersect select nation & 4398046511103 from supplier except select nation & 4398046511103 from customer where acctbal > $1"
+    return SqlSession(warehouse(spark, sf_dir)).query(sql, 9900.0)
