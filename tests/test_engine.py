@@ -8,6 +8,7 @@ import pytest
 
 from factloom import edn
 from factloom.edn import Keyword as K
+from factloom.operators import migration
 from factloom.plans.mutation import execute
 from factloom.plans.parse import QueryError, parse
 from factloom.plans.sql import SqlSession
@@ -120,6 +121,35 @@ def test_sql_writes(spark, tmp_path):
         execute(c, "update p set age = 8", db=stale)
 
 
+def test_schema_changes(spark, tmp_path):
+    c = Connection(spark, str(tmp_path / "m"), SCHEMA)
+    c.transact('[{:db/id "a" :p/name "A" :p/age 1 :p/nick ["x" "y"] :p/score 1.0} {:db/id "b" :p/name "B" :p/age 1 :p/part ["a"]}]')
+    want = SCHEMA.changed("p/age", unique="value", indexed=True).changed("p/nick", many=False).changed("p/score", type="long", many=True).changed("p/part", component=False)
+    want = want.without(["p/role"]).merged(Schema.of([Attribute("p/new", "string")]))
+    made = migration.plan(c.db(), want)
+    steps = {s.key: s for s in made.steps}
+    assert list(steps) == sorted(steps) and made.unmanaged == ("p/role",)
+    assert (steps["p/age:unique"].blocked, steps["p/age:unique"].seen["sample"], steps["p/age:unique"].depends_on) == ("unique-duplicates", [1], ("p/age:index",))
+    assert (steps["p/nick:cardinality"].kind, steps["p/nick:cardinality"].seen["rows"]) == ("rewrite", 2)
+    assert (steps["p/score:value-type"].kind, steps["p/score:cardinality"].depends_on) == ("destructive", ("p/score:value-type",))
+    assert (steps["p/part:component"].acks, steps["p/new:add"].kind) == (("component-disable",), "additive")
+    with pytest.raises(TxError):
+        migration.apply_plan(c, made, allow=migration.CLASSES, acks=["component-disable"])
+    want = SCHEMA.changed("p/score", indexed=True).changed("p/part", component=False).without(["p/age"]).merged(Schema.of([Attribute("p/new", "string")]))
+    made, again = migration.plan(c.db(), want, prune=True), migration.plan(c.db(), want, prune=True)
+    assert made.digest == again.digest and made.refusals() and not made.refusals(["validate-reindex"], ["component-disable", "retire-live-attribute"])
+    migration.apply_plan(c, made, ["validate-reindex"], ["component-disable", "retire-live-attribute"])
+    with pytest.raises(BasisMismatch):
+        migration.apply_plan(c, again, ["validate-reindex"], ["component-disable", "retire-live-attribute"])
+    with pytest.raises(TxError):
+        c.transact('[{:p/name "A" :p/age 5}]')
+    c.transact('[[:db/retract [:p/name "A"] :p/age 1] {:p/name "A" :p/new "n"}]')
+    assert c.db().q("[:find ?n ?x :where [?e :p/new ?x] [?e :p/name ?n]]").value() == [["A", "n"]]
+    assert c.db().q("[:find (count ?e) . :where [?e :p/age _]]").value() == 1
+    assert c.db().q("[:find ?d . :where [_ :db/schemaDigest ?d]]").value() == made.digest
+    assert not migration.plan(c.db(), want).steps
+
+
 def test_transactions(spark, tmp_path):
     c = Connection(spark, str(tmp_path / "f"), SCHEMA)
     first = c.transact('[{:db/id "a" :p/name "Z" :p/age 1 :p/part ["q"]} {:db/id "q" :p/name "Q"}]')
