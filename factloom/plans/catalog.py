@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.db import q
-from factloom.operators import impact
+from factloom.operators import access, impact
 
 from .sql import SqlSession
 from .warehouse import orders_log, warehouse
@@ -208,3 +208,15 @@ def sql_window(spark, sf_dir):
 def sql_set_ops(spark, sf_dir):
     sql = "select n.e & 4398046511103 k from nation n intersect select nation & 4398046511103 from supplier except select nation & 4398046511103 from customer where acctbal > $1"
     return SqlSession(warehouse(spark, sf_dir)).query(sql, 9900.0)
+
+
+@frames("access_check", "select c_custkey k, case when n_regionkey in (1, 2) then 'granted' else 'denied' end outcome, case n_regionkey when 1 then 1 when 2 then 2 end hops from customer join nation on c_nationkey = n_nationkey")
+def access_check(spark, sf_dir):
+    """Who may view a report: members of the nations of region 1, which is its viewer, and of region 2, which owns its folder."""
+    at = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    members = at("customer").selectExpr("concat('user:', c_custkey) subject", "'member' relation", "concat('nation:', c_nationkey) object")
+    viewers = at("nation").selectExpr("concat('nation:', n_nationkey, '#member') subject", "if(n_regionkey = 1, 'viewer', 'owner') relation", "concat(if(n_regionkey = 1, 'report:', 'folder:'), n_regionkey) object")
+    inside = spark.createDataFrame([("folder:2", "parent", "report:1")], "subject string, relation string, object string")
+    rewrites = spark.createDataFrame([("viewer", "parent", "owner", "report")], "relation string, via_relation string, on_relation string, object_type string")
+    requests = at("customer").selectExpr("c_custkey rid", "concat('user:', c_custkey) subject", "'viewer' relation", "'report:1' object")
+    return access.check(members.union(viewers).union(inside), requests, rewrites).withColumnRenamed("rid", "k")

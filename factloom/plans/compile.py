@@ -626,9 +626,13 @@ def fixpoint(ctx: Context, name: str, most: int = 10_000) -> None:
 
 
 def _cut(frame: Frame) -> Frame:
-    """A frame whose lineage is cut by a checkpoint in the shared folder."""
-    context = frame.df.sparkSession.sparkContext
+    return Frame(cut(frame.df), frame.types)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed, with its lineage cut by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{context.applicationId}"
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{context.applicationId}"
         context.setCheckpointDir(folder)
-    return Frame(frame.df.checkpoint(), frame.types)
+    return df.checkpoint()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 
 from factloom import edn
 from factloom.edn import Keyword as K
-from factloom.operators import migration
+from factloom.operators import access, migration
 from factloom.plans.mutation import execute
 from factloom.plans.parse import QueryError, parse
 from factloom.plans.sql import SqlSession
@@ -150,6 +151,44 @@ def test_schema_changes(spark, tmp_path):
     assert not migration.plan(c.db(), want).steps
 
 
+def test_access(spark):
+    """Random relationships against a search of one request at a time."""
+    rng = random.Random(8)
+    subjects = [f"user:{i}" for i in range(5)] + ["user:*"] + [f"group:{i}" for i in range(6)] + [f"group:{i}#member" for i in range(6)] + ["doc:1", "doc:2"]
+    tuples = [(rng.choice(subjects), rng.choice(["member", "viewer", "parent"]), rng.choice([f"group:{i}" for i in range(6)] + ["doc:0", "doc:1", "doc:2", "doc:*"])) for _ in range(60)]
+    tuples = [t for t in tuples if t[0] != "user:*" or rng.random() < 0.4] + [("group:0#member", "member", "group:1"), ("group:1#member", "member", "group:0")]
+    requests = [(k, f"user:{u}", "viewer", f"doc:{d}") for k, (u, d) in enumerate((u, d) for u in range(6) for d in range(3))]
+
+    def search(who, relation, object_):
+        level, seen = [(relation, object_)], {(relation, object_)}
+        for hop in range(9):
+            after = []
+            for r, o in level:
+                places = {o, o.split(":")[0] + ":*"}
+                for s, r2, o2 in tuples:
+                    plain, _, of = s.partition("#")
+                    if o2 in places and r2 == r:
+                        if not of and s in (who, "user:*"):
+                            return ("granted", hop)
+                        after.append((of or "member", plain))
+                    if o2 in places and r2 == "parent" and r == "viewer" and o.startswith("doc:"):
+                        after.append(("viewer", plain))
+            level = [g for g in dict.fromkeys(after) if g not in seen]
+            seen |= set(level)
+        return ("denied", None)
+
+    names = "subject string, relation string, object string"
+    rewrites = spark.createDataFrame([("viewer", "parent", "viewer", "doc")], "relation string, via_relation string, on_relation string, object_type string")
+    ask = lambda **more: {r["rid"]: (r["outcome"], r["hops"]) for r in access.check(spark.createDataFrame(tuples + tuples[:3], names), spark.createDataFrame(requests, f"rid int, {names}"), rewrites, **more).collect()}
+    want = {k: search(*q) for k, *q in requests}
+    assert ask() == want and {x for x, _ in want.values()} == {"granted", "denied"}
+    assert all(o == ("exhausted", None) or o == want[k] for k, o in ask(most_goals=1).items())
+    views = [{"name": "some", "filter_type": "attribute-allowlist", "attributes": [":p/name", ":p/age"]}, {"name": "no-age", "filter_type": "attribute-denylist", "attributes": [":p/age"]}]
+    bindings = [{"relation": "viewer", "object": "doc:*", "view": "some"}, {"relation": "member", "object": "doc:1", "view": "no-age"}, {"relation": "owner", "object": "doc:1", "unfiltered": True}]
+    assert access.hidden(SCHEMA, bindings, views, [("viewer", "doc:1"), ("member", "doc:1")]) == set(SCHEMA.attributes) - {"p/name"}
+    assert access.hidden(SCHEMA, bindings, views, [("viewer", "doc:1"), ("owner", "doc:1")]) == set()
+
+
 def test_transactions(spark, tmp_path):
     c = Connection(spark, str(tmp_path / "f"), SCHEMA)
     first = c.transact('[{:db/id "a" :p/name "Z" :p/age 1 :p/part ["q"]} {:db/id "q" :p/name "Q"}]')
