@@ -122,6 +122,33 @@ def test_sql_writes(spark, tmp_path):
         execute(c, "update p set age = 8", db=stale)
 
 
+def test_staged_and_forked(spark, tmp_path):
+    c = Connection(spark, str(tmp_path / "s"), SCHEMA)
+    c.transact('[{:p/name "A" :p/age 1}]')
+    stage = c.staged()
+    execute(stage, "insert into p (name, age) values ('B', 2), ('C', 3)")
+    made = execute(stage, "insert into p (name, age) select name || '2', age from p where age > 1 returning name")
+    assert sorted(r[0] for r in made.returning.collect()) == ["B2", "C2"]
+    execute(stage, "update p set age = age + 10 where name in ('A', 'B')")
+    execute(stage, "delete from p where name = 'C'")
+    names = "[:find ?n ?a :where [?e :p/name ?n] [?e :p/age ?a]]"
+    assert c.db().q(names).value() == [["A", 1]]
+    assert stage.commit().db_after.q(names).value() == [["A", 11], ["B", 12], ["B2", 2], ["C2", 3]] and c.basis() == 2
+    late, other = c.staged(), c.staged()
+    execute(late, "update p set age = 0")
+    execute(other, "delete from p where name = 'B'")
+    other.commit()
+    with pytest.raises(BasisMismatch):
+        late.commit()
+    fork = c.fork(str(tmp_path / "t"), 2)
+    assert fork.basis() == 2 and fork.db().q(names).value() == c.db().as_of(2).q(names).value()
+    execute(fork, "delete from p")
+    assert fork.basis() == 3 and fork.db().q(names).value() == [] and len(c.db().q(names).value()) == 3
+    with pytest.raises(TxError):
+        c.fork(str(tmp_path / "t"))
+    assert Connection(spark, str(tmp_path / "e"), SCHEMA).fork(str(tmp_path / "e2")).basis() == 0
+
+
 def test_schema_changes(spark, tmp_path):
     c = Connection(spark, str(tmp_path / "m"), SCHEMA)
     c.transact('[{:db/id "a" :p/name "A" :p/age 1 :p/nick ["x" "y"] :p/score 1.0} {:db/id "b" :p/name "B" :p/age 1 :p/part ["a"]}]')
