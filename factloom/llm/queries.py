@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import on_workers
 
-from . import decontaminate, html, langid, mixing, pitmanyor, quality, secrets, simhash, tokens, urls
+from . import decontaminate, html, langid, mixing, pitmanyor, quality, secrets, simhash, sql, tokens, urls
 from .shared import documents
 
 
@@ -63,4 +63,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_html, op4_decontamination, op5_tokens, op6_urls, op7_pitmanyor, op8_secrets, op9_langid, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

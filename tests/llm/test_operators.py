@@ -367,3 +367,18 @@ def test_op10_repeats():
     m = quality.measures(texts, least=quality.LEAST)
     for t, c, n in zip(texts, m["n_covered"], m["longest"]):
         assert (c, n) == brute_repeats(t.split())
+
+
+def test_registered_queries_match_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from factloom.llm import queries
+
+    base, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "benchmark", "pages"):
+        con.sql(f"create view {name} as select * from '{base}/{name}.parquet'")
+    for name, text in queries.ORACLE_SQL.items():
+        df, want = queries.QUERIES[name](spark, base), con.sql(text)
+        columns = sorted(df.columns)
+        assert columns == sorted(want.columns)
+        rows = [tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()]
+        assert Counter(map(str, map(tuple, df.select(*columns).collect()))) == Counter(map(str, rows)), name
