@@ -10,6 +10,7 @@ import pytest
 from factloom import edn
 from factloom.edn import Keyword as K
 from factloom.operators import access, migration
+from factloom.plans import build
 from factloom.plans.mutation import execute
 from factloom.plans.parse import QueryError, parse
 from factloom.plans.sql import SqlSession
@@ -61,6 +62,24 @@ def test_queries(conn):
         ask('[:find ?a :where [?e :p/age ?a] [(< ?a "x")]]')
 
 
+def test_built_queries(conn):
+    e, n, a, o = map(build.var, "enao")
+    name, age = build.attr(":p/name"), build.attr(":p/age")
+    db = conn.db()
+    older = build.Query.find(n, a).where(build.data(e, name, n), build.data(e, age, a), build.call(">", a, 25))
+    assert db.q(older).value() == [["Ann", 31]]
+    assert db.q(build.Query.find_scalar(build.agg("sum", a)).with_(e).where(build.data(e, age, a))).value() == 51
+    assert db.q(build.Query.find_collection(n).where(build.data(e, name, n), build.not_(build.data(e, age)))).value() == ["Cat", "Part"]
+    either = build.or_(build.data(e, name, "Ann"), build.all_(build.data(e, name, 'Cat'), build.not_(build.data(e, age, 31))))
+    assert db.q(build.Query.find_collection(n).where(either, build.data(e, name, n))).value() == ["Ann", "Cat"]
+    assert db.q(build.Query.find_collection(o).in_(build.coll(n)).where(build.data(e, name, n), build.data(e, age, a), build.call("+", a, 1).bind(o)), ["Ann", "Bob"]).value() == [21, 32]
+    friend = build.attr("p/friend")
+    rules = build.RuleSet().define(build.rule("knows", e, o), build.data(e, friend, o)).define(build.rule("knows", e, o), build.data(e, friend, a), build.rule("knows", a, o))
+    knows = build.Query.find_collection(n).in_(build.Form("%")).where(build.rule("knows", e, o), build.data(o, name, "Ann"), build.data(e, name, n))
+    assert db.q(knows, str(rules)).value() == ["Bob", "Cat"]
+    assert build.data(e, name, 'a "b"').within("$old").text == '[$old ?e :p/name "a \\"b\\""]'
+
+
 def test_views(conn):
     db = conn.db()
     age = '[:find ?a . :where [?e :p/name "Ann"] [?e :p/age ?a]]'
