@@ -266,7 +266,7 @@ def q(query: Any, *inputs: Any, functions: dict[str, tuple[Callable, Any, str]]
     frame = plan.Frame()
     for x, v in zip(parsed.inputs, inputs):
         if isinstance(x, parsing.Symbol) and x.name == "%":
-            ctx.rules = parsing.rules(v)
+            ctx.rules = plan.flattened(parsing.rules(v))
         elif not (isinstance(x, parsing.Symbol) and x.name.startswith("$")):
             frame = _input(ctx, frame, x, v, any_)
     needed = {f.var for f in parsed.find} | set(parsed.with_)

@@ -80,6 +80,8 @@ RULES = """[[(rich ?x) [?x :customer/acctbal ?b] [(> ?b 9500.0)]] [(rich ?x) [?x
 _REACH = "with recursive r(a, b) as (select p_partkey, p_partkey + 1 from part where p_partkey % 7 <> 0 and p_partkey + 1 < (select count(*) from part) union select r.a, r.b + 1 from r where r.b % 7 <> 0 and r.b + 1 < (select count(*) from part))"
 datalog("rule_union", "[:find ?n :in $ % :where (rich ?x) (or [?x :customer/name ?n] [?x :supplier/name ?n])]", "n", "select c_name n from customer where c_acctbal > 9500 union select s_name from supplier where s_acctbal > 9500", RULES)
 datalog("rule_closure", "[:find ?x ?y :in $ % :where (reach ?a ?b) [?a :part/key ?x] [?b :part/key ?y]]", "x y", _REACH + " select a x, b y from r", RULES)
+datalog("rule_bound", "[:find ?y :in $ % ?x :where [?a :part/key ?x] (reach ?a ?b) [?b :part/key ?y]]", "y", _REACH + " select b y from r where a = 8", RULES, 8)
+datalog("rule_bound_end", "[:find ?x :in $ % :where [?b :part/key 14] (reach ?a ?b) [?a :part/key ?x]]", "x", _REACH + " select a x from r where b = 14", RULES)
 datalog("rule_mutual", "[:find ?x ?y :in $ % :where (even-step ?a ?b) [?a :part/key ?x] [?b :part/key ?y]]", "x y", _REACH + " select a x, b y from r where (b - a) % 2 = 0", RULES)
 datalog("rule_not", "[:find (count ?x) :in $ % :where (plain ?x)]", "n", "select count(*) n from customer where not c_acctbal > 9500", RULES)
 

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from factloom.edn import Keyword, Tagged
 from factloom.functions.builtins import FUNCTIONS, PREDICATES, comparable
+from factloom.plans.demand import adorned, askable, calls, reach, recurring
 from factloom.plans.parse import (BLANK, Const, Function, Not, Or, Pattern, Predicate, QueryError, Rule, RuleCall, Var, all_vars, bound_vars, needed_vars)
 from factloom.schema import TYPES, Attribute
 from factloom.sources.facts import edn_text
 
 WHOLE = ("long", "ref", "instant")
+#: Rounds of a recursion whose tables are read side by side before they are written as one.
+TOGETHER = 16
 
 
 @dataclass
@@ -49,6 +52,7 @@ class Context:
     functions: dict[str, Any] = field(default_factory=dict)
     done: dict[str, Frame] = field(default_factory=dict)  # relations of recursive rules
     fresh: Any = field(default_factory=count)
+    within: bool = False  # a rule's body, within its fixpoint
 
     def db(self, source: str) -> Any:
         if source not in self.dbs:
@@ -100,11 +104,16 @@ def coerced(value: Any, a: Attribute) -> tuple[Column, str]:
 def conjunction(ctx: Context, clauses: Sequence[Any], start: Frame, needed: set[str]) -> Frame:
     """start joined with all clauses; only needed variables stay."""
     left, frame = list(clauses), start
+    narrow = bool(start.types)
     while left:
         i = _next(ctx, left, frame)
         clause = left.pop(i)
         live = needed.union(*map(_wants, left)) if left else set(needed)
-        frame = _apply(ctx, clause, frame, left, live).keep(live)
+        narrow = narrow or isinstance(clause, Predicate) or isinstance(clause, Pattern) and any(isinstance(clause.terms[k], Const) for k in (0, 2))
+        if isinstance(clause, RuleCall):
+            frame = _rule(ctx, clause, frame, live, narrow).keep(live)
+        else:
+            frame = _apply(ctx, clause, frame, left, live).keep(live)
     return frame
 
 
@@ -176,9 +185,7 @@ def _apply(ctx: Context, c: Any, frame: Frame, left: list, live: set[str]) -> Fr
         return _function(ctx, c, frame)
     if isinstance(c, Not):
         return _negation(ctx, c, frame)
-    if isinstance(c, Or):
-        return _union(ctx, c.branches, sorted(c.join if c.join is not None else all_vars(c)), frame, live)
-    return _rule(ctx, c, frame, live)
+    return _union(ctx, c.branches, sorted(c.join if c.join is not None else all_vars(c)), frame, live)
 
 
 # Patterns
@@ -486,38 +493,30 @@ def renamed(c: Any, names: dict[str, Any]) -> Any:
 
 # Rules
 
-def _calls(rules: dict[str, list[Rule]], name: str) -> set[tuple[str, bool]]:
-    """(rule, negated) for each rule that the definitions of name call."""
-
-    def of(c: Any, negated: bool) -> set[tuple[str, bool]]:
-        if isinstance(c, RuleCall):
-            return {(c.name, negated)}
-        if isinstance(c, Not):
-            return set().union(*(of(x, True) for x in c.clauses)) if c.clauses else set()
-        if isinstance(c, Or):
-            return set().union(*(of(x, negated) for b in c.branches for x in b))
-        return set()
-
-    return set().union(*(of(c, False) for r in rules.get(name, []) for c in r.clauses)) if rules.get(name) else set()
-
-
-def _reach(rules: dict[str, list[Rule]], name: str) -> set[str]:
-    seen, todo = set(), [name]
-    while todo:
-        for other, _ in _calls(rules, todo.pop()):
-            if other not in seen:
-                seen.add(other)
-                todo.append(other)
-    return seen
+def flattened(rules: dict[str, list[Rule]]) -> dict[str, list[Rule]]:
+    """Rules with a definition for each branch of an or that the recursion goes through, so that each round can see its calls."""
+    fresh, out = count(), {}
+    for name, definitions in rules.items():
+        group, todo, done = recurring(rules, name), list(definitions), []
+        while todo:
+            rule = todo.pop(0)
+            at = next((c for c in rule.clauses if isinstance(c, Or) and not c.required and any(x in group for x, _ in calls({name: [Rule(name, [], [], [c])]}, name))), None)
+            if at is None:
+                done.append(rule)
+                continue
+            rest = [c for c in rule.clauses if c is not at]
+            for branch in at.branches:
+                inner = set() if at.join is None else set().union(*map(_every_var, branch)) - set(at.join)
+                names = {n: Var(f"{n}~{next(fresh)}") for n in inner}
+                todo.append(replace(rule, clauses=rest + [renamed(c, names) for c in branch]))
+        out[name] = done
+    return out
 
 
-def _rule(ctx: Context, c: RuleCall, frame: Frame, live: set[str]) -> Frame:
+def _rule(ctx: Context, c: RuleCall, frame: Frame, live: set[str], narrow: bool) -> Frame:
     _required(ctx, c)
-    if c.name in ctx.done:
-        return joined(frame, _called(ctx.done[c.name], c), live)
-    if c.name in _reach(ctx.rules, c.name):
-        fixpoint(ctx, c.name)
-        return joined(frame, _called(ctx.done[c.name], c), live)
+    if _done(c) in ctx.done or c.name in reach(ctx.rules, c.name):
+        return joined(frame, _called(_recursive(ctx, c, frame, narrow), c), live)
     branches, names = [], sorted({t.name for t in c.args if isinstance(t, Var) and t != BLANK})
     for rule in ctx.rules[c.name]:
         head = rule.required + rule.free
@@ -562,24 +561,56 @@ def _called(relation: Frame, c: RuleCall) -> Frame:
     return Frame(df, {n: t for n, (_, t) in at.items()})
 
 
+def _done(c: RuleCall) -> str:
+    return c.name if c.source == "$" else f"{c.source} {c.name}"
+
+
+def _recursive(ctx: Context, c: RuleCall, frame: Frame, narrow: bool) -> Frame:
+    """A recursive rule's relation: all of it, or of a narrow frame's arguments what is asked for."""
+    if _done(c) not in ctx.done:
+        at = ctx if c.source == "$" else replace(ctx, dbs=ctx.dbs | {"$": ctx.db(c.source)}, done={})
+        if not ctx.within and (narrow or any(isinstance(t, Const) for t in c.args)):
+            found = demanded(at, c, frame)
+            if found is not None:
+                return found
+        fixpoint(at, c.name)
+        ctx.done[_done(c)] = at.done[c.name]
+    return ctx.done[_done(c)]
+
+
+def demanded(ctx: Context, c: RuleCall, frame: Frame) -> Frame | None:
+    """What a recursive rule gives for the arguments that a call has in a frame; None if that can't be told apart from all it gives."""
+    given = tuple(askable(t, set(frame.types)) for t in c.args)
+    seed = f"{c.name}!{next(ctx.fresh)}"
+    made = adorned(ctx.rules, c.name, given, seed)
+    if made is None:
+        return None
+    rules, goal = made
+    terms = [literal(t.value) if isinstance(t, Const) else (F.col(f"`{t.name}`"), frame.types[t.name]) for t, x in zip(c.args, given) if x]
+    asked = _some(ctx, frame).df.select(*[x.alias(f"h{k}") for k, (x, _) in enumerate(terms)]).distinct()
+    inner = replace(ctx, rules=rules, done=ctx.done | {seed: Frame(asked, {f"h{k}": t for k, (_, t) in enumerate(terms)})})
+    fixpoint(inner, goal)
+    return inner.done[goal]
+
+
 def fixpoint(ctx: Context, name: str, most: int = 10_000) -> None:
     """The relations of a rule and of those it recurs with, by semi-naive iteration.
 
     A round joins what the last one found new with all there is, and keeps what is new in turn; each round's
     tables are checkpointed, so plans stay short. Negation within the recursion is refused.
     """
-    group = {n for n in _reach(ctx.rules, name) if name in _reach(ctx.rules, n)} | {name}
+    group = recurring(ctx.rules, name)
     for n in group:
-        if any(other in group and negated for other, negated in _calls(ctx.rules, n)):
+        if any(other in group and negated for other, negated in calls(ctx.rules, n)):
             raise QueryError(f"{n} recurs through not")
     total: dict[str, Frame] = {}
     bases: dict[str, list[list[Any]]] = {n: [] for n in group}
     steps: list[tuple[str, Rule, list[Any]]] = []
     for n in group:
         for rule in ctx.rules[n]:
-            recurs = any(x in group for x, _ in _calls({n: [rule]}, n))
+            recurs = any(x in group for x, _ in calls({n: [rule]}, n))
             (steps.append((n, rule, rule.clauses)) if recurs else bases[n].append(rule))
-    inner = Context(ctx.spark, ctx.dbs, ctx.rules, ctx.functions, dict(ctx.done), ctx.fresh)
+    inner = replace(ctx, done=dict(ctx.done), within=True)
 
     def body(rule: Rule, clauses: list[Any]) -> Frame:
         head = rule.required + rule.free
@@ -592,19 +623,20 @@ def fixpoint(ctx: Context, name: str, most: int = 10_000) -> None:
             total[n] = _cut(united(parts, list(parts[0].types)))
     if name not in total and not total:
         raise QueryError(f"{name} has no definition that doesn't recur")
-    for n in group - set(total):  # found by calling the others; types are those of the first that binds
-        first = ctx.rules[n][0]
-        kinds = next(iter(total.values())).types
-        width = len(first.required + first.free)
-        types = {f"h{k}": kinds.get(f"h{k}", "ref") for k in range(width)}
-        total[n] = Frame(ctx.spark.createDataFrame([], ", ".join(f"{h} {TYPES.get(t, ('', 'string'))[1]}" for h, t in types.items())), types)
+    while lacking := sorted(group - set(total)):  # found by calling the others, which tell the types
+        n, rule = next(((n, r) for n in lacking for r in ctx.rules[n] if not {x for x, _ in calls({n: [r]}, n)} & set(lacking)), (None, None))
+        if rule is None:
+            raise QueryError(f"{' '.join(lacking)} can't be computed")
+        inner.done |= total
+        first = body(rule, rule.clauses)
+        total[n] = Frame(first.df.limit(0), first.types)
     delta = dict(total)
-    for _ in range(most):
+    for round_ in range(most):
         found: dict[str, list[Frame]] = {n: [] for n in group}
         for n, rule, clauses in steps:
             places = [i for i, c in enumerate(clauses) if isinstance(c, RuleCall) and c.name in group]
             for i in places or [None]:  # one call sees what is new, the others everything
-                inner.done = dict(ctx.done) | {f"{g}": total[g] for g in group} | {f"{g}+": delta[g] for g in group}
+                inner.done |= {f"{g}": total[g] for g in group} | {f"{g}+": delta[g] for g in group}
                 inner.rules = dict(ctx.rules) | {f"{g}+": ctx.rules[g] for g in group}
                 found[n].append(body(rule, [replace(c, name=c.name + "+") if k == i else c for k, c in enumerate(clauses)]))
         new: dict[str, Frame] = {}
@@ -616,9 +648,12 @@ def fixpoint(ctx: Context, name: str, most: int = 10_000) -> None:
             names = list(total[n].types)
             old = total[n].df.select(*[F.col(x).alias(f"__{x}") for x in names])
             new[n] = _cut(Frame(every.df.join(old, [same((F.col(x), every.types[x]), (F.col(f"__{x}"), total[n].types[x])) for x in names], "left_anti"), every.types))
-        if all(new[n].df.isEmpty() for n in group):
+        more = [n for n in group if not new[n].df.isEmpty()]
+        if not more:
             break
-        total = {n: _cut(Frame(total[n].df.unionByName(new[n].df), total[n].types)) for n in group}
+        for n in more:  # rounds' tables are read together, and now and then written as one
+            total[n] = Frame(total[n].df.unionByName(new[n].df), total[n].types)
+            total[n] = _cut(total[n]) if round_ % TOGETHER == TOGETHER - 1 else total[n]
         delta = new
     else:
         raise QueryError(f"{name} doesn't end after {most} rounds")

@@ -256,6 +256,72 @@ def test_transactions(spark, tmp_path):
     assert got == sorted(got) and set(got) == {1, 2, 3, 4, 5}
 
 
+RECURSIVE = """[[(right ?a ?b) [?a :p/friend ?b]] [(right ?a ?b) [?a :p/friend ?c] (right ?c ?b)]
+  [(left ?a ?b) [?a :p/friend ?b]] [(left ?a ?b) (left ?a ?c) [?c :p/friend ?b]]
+  [(both ?a ?b) [?a :p/friend ?b]] [(both ?a ?b) (both ?a ?c) (both ?c ?b)]
+  [(step ?a ?b) [?a :p/friend ?b] [(!= ?a ?b)]] [(by-rule [?a] ?b) (step ?a ?b)] [(by-rule [?a] ?b) (step ?a ?c) (by-rule ?c ?b)]
+  [(odd ?a ?b) [?a :p/friend ?b]] [(odd ?a ?b) [?a :p/friend ?c] (even ?c ?b)] [(even ?a ?b) [?a :p/friend ?c] (odd ?c ?b)]
+  [(within ?a ?b) (or-join [?a ?b] [?a :p/friend ?b] (and [?a :p/friend ?c] (within ?c ?b)))]
+  [(far ?a ?b) (right ?a ?c) [?c :p/part ?b]] [(far ?a ?b) (right ?a ?c) (far ?c ?b)]]"""
+
+
+def test_recursion(spark, tmp_path):
+    """Recursive rules, asked for all and for given arguments, against a search."""
+    rng = random.Random(4)
+    c = Connection(spark, str(tmp_path / "r"), SCHEMA)
+    edges = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(9)} | {(12, 13), (13, 14), (14, 12), (13, 13)})
+    made = c.transact([{K("db/id"): f"n{i}", K("p/name"): f"n{i}"} for i in range(15)]).tempids
+    c.transact([[K("db/add"), made[f"n{a}"], K("p/friend"), made[f"n{b}"]] for a, b in edges] + [[K("db/add"), made[f"n{i}"], K("p/part"), made[f"n{(i * 7) % 15}"]] for i in (3, 12, 14)])
+    c.transact([[K("db/retract"), made["n12"], K("p/friend"), made["n13"]]])
+    old, now = c.db().as_of(2), c.db()
+
+    def closure(pairs):
+        walks = {(a, b, 1) for a, b in pairs}
+        while more := {(a, d, 1 - k) for a, b, k in walks for c_, d in pairs if b == c_} - walks:
+            walks |= more
+        return walks
+
+    part = [(i, (i * 7) % 15) for i in (3, 12, 14)]
+    for db, source, pairs in ((old, "", edges), (now, "$old ", edges)):
+        walks = closure(pairs)
+        every = {(a, b) for a, b, _ in walks}
+        plain = closure([(a, b) for a, b in pairs if a != b])
+        want = {n: every for n in ("right", "left", "both", "within")} | {"odd": {(a, b) for a, b, k in walks if k}, "even": {(a, b) for a, b, k in walks if not k}, "by-rule": {(a, b) for a, b, _ in plain}}
+        want["far"] = {(a, d) for a, b in every for c_, d in part if b == c_}
+        for rule in want if not source else ("right",):
+            ask = lambda where, *more, extra="", find="?x ?y": {tuple(r) for r in db.q(f"[:find {find} :in $ {'$old' if source else ''} % {extra} :where {where}]", *([old] if source else []), RECURSIVE, *more).rows()}  # noqa: B023, E731
+            name = lambda pairs_: {(f"n{a}", f"n{b}") for a, b in pairs_}
+            call = f"({source}{rule} ?a ?b) [?a :p/name ?x] [?b :p/name ?y]"
+            if not source:
+                assert ask(call, ["n12", "n2", "none"], extra="[?x ...]") == name((a, b) for a, b in want[rule] if a in (12, 2)), rule
+                if rule in ("right", "far"):
+                    assert ask(call + ' [?a :p/name "n3"] [?b :p/name "n3"]') == name((a, b) for a, b in want[rule] if a == b == 3), rule
+                if rule in ("left", "odd"):
+                    assert ask(f"({rule} ?a {made['n13']}) [?a :p/name ?x]", find="?x") == {(f"n{a}",) for a, b in want[rule] if b == 13}, rule
+            else:
+                assert ask(call, "n12", extra="?x") == name((a, b) for a, b in want[rule] if a == 12), rule
+            if rule in ("even", "far") and not source:
+                assert ask(call) == name(want[rule]), rule
+
+
+def test_demand_is_narrow(spark):
+    """A given start reads what can be reached from it, whichever way the rule recurs."""
+    from factloom.plans import compile as plan
+    from factloom.plans import parse as parsing
+    from factloom.plans.catalog import RULES
+    from factloom.plans.warehouse import warehouse
+
+    rules = parsing.rules(edn.read(RULES))
+    ctx = plan.Context(spark, {"$": warehouse(spark, "/root/testdata/sf0.001")}, rules)
+    from factloom.schema import SHIFT
+
+    part = {a.partition: a for a in ctx.dbs["$"].source.tables if "part/key" in a.columns}
+    e = (next(iter(part)) << SHIFT) + 8
+    found = plan.demanded(ctx, parsing.RuleCall("reach", [parsing.Const(e), parsing.Var("?b")]), plan.Frame())
+    assert found.df.count() == sum(range(1, 7))  # 8 to 14, whose every pair is reached; 14 has no next
+    assert plan.demanded(ctx, parsing.RuleCall("reach", [parsing.Var("?a"), parsing.Var("?b")]), plan.Frame()) is None
+
+
 def test_scan_shapes(spark):
     """A star is one scan; a filter reaches Parquet."""
     from factloom.plans.warehouse import warehouse
