@@ -15,9 +15,11 @@ from factloom.functions.aggregates import aggregate
 from factloom.plans import compile as plan
 from factloom.plans import parse as parsing
 from factloom.plans.parse import QueryError
-from factloom.schema import SHIFT, TX, TYPES, Attribute, Schema
-from factloom.sources.facts import LogSource, RelationalSource, View, tx_of
+from factloom.schema import SHIFT, Attribute, Schema
+from factloom.sources.facts import LogSource, RelationalSource, View, log_text, tx_of
 
+#: What a reader without the key sees of a sealed value.
+REDACTED = Tagged("redacted", None)
 ORDERS = {"eavt": ["e", "attr", "v", "tx"], "aevt": ["attr", "e", "v", "tx"], "avet": ["attr", "v", "e", "tx"], "vaet": ["v", "attr", "e", "tx"]}
 
 
@@ -29,6 +31,7 @@ class Db:
     basis_t: int = 0
     idents: dict[str, int] = field(default_factory=dict)
     hidden: frozenset[str] = frozenset()
+    sealed: frozenset[str] = frozenset()  # protected attributes whose key the reader lacks
 
     # What the compiler asks
 
@@ -43,10 +46,19 @@ class Db:
         return None if a.ident in self.hidden else a
 
     def facts(self, a: Attribute) -> DataFrame:
-        return self.source.attribute(a)
+        if a.ident not in self.sealed:
+            return self.source.attribute(a)
+        if a.protection.missing == "error":
+            raise QueryError(f"no key of {a.protection.name} to read :{a.ident}")
+        rows = self.source.attribute(a, sealed=True)
+        return rows.where(F.lit(False)) if a.protection.missing == "hide" else rows
+
+    def type_of(self, a: Attribute) -> str:
+        """The type that a query sees; sealed values are of one type, which nothing but itself equals."""
+        return "sealed" if a.ident in self.sealed else a.type
 
     def can_star(self, attributes: Sequence[Attribute]) -> bool:
-        if any(a is None or a.many for a in attributes):
+        if any(a is None or a.many or a.ident in self.sealed for a in attributes):
             return False
         if isinstance(self.source, RelationalSource):
             return len({id(self.source.table_of(a)) for a in attributes}) == 1
@@ -57,7 +69,12 @@ class Db:
 
     def everything(self) -> DataFrame:
         df = self.source.everything()
-        return df.where(~F.col("attr").isin(list(self.hidden))) if self.hidden else df
+        policy = {m: [i for i in self.sealed if self.schema.attributes[i].protection.missing == m] for m in ("hide", "error")}
+        if hidden := sorted(self.hidden.union(policy["hide"])):
+            df = df.where(~F.col("attr").isin(hidden))
+        if failing := sorted(set(policy["error"]) - self.hidden):
+            df = df.withColumn("v", F.when(F.col("attr").isin(failing), F.raise_error(F.concat(F.lit("no key to read :"), "attr"))).otherwise(F.col("v")))
+        return df
 
     def resolve(self, value: Any) -> int | None:
         """An entity id from an id, an ident or a lookup reference; None if there is none."""
@@ -77,7 +94,7 @@ class Db:
         a = self.attribute(ident)
         if a is None:
             return None
-        row = self.facts(a).where(plan.same((F.col("v"), a.type), plan.coerced(value, a))).select("e").orderBy("e").first()
+        row = self.facts(a).where(plan.same((F.col("v"), self.type_of(a)), plan.coerced(value, a))).select("e").orderBy("e").first()
         return row and row[0]
 
     # Views
@@ -170,7 +187,7 @@ class Db:
         log = self.log()
         log = log if start is None else log.where(F.col("t") >= start)
         log = log if end is None else log.where(F.col("t") < end)
-        datom = F.struct("seq", "e", "attr", F.coalesce(*[plan.edn_text(plan_shown(F.col(c), t), t) for t, (c, _) in TYPES.items()]).alias("v"), "added")
+        datom = F.struct("seq", "e", "attr", log_text().alias("v"), "added")
         return log.groupBy("t").agg(F.sort_array(F.collect_list(datom)).alias("datoms")).orderBy("t")
 
     def recorded_since(self, t: int) -> DataFrame:
@@ -202,10 +219,6 @@ class Db:
         return Entity(self, self.resolve(e))
 
 
-def plan_shown(c: Column, type_: str) -> Column:
-    return F.unix_millis(c) if type_ == "instant" else c
-
-
 @dataclass
 class Result:
     """What a query found: a DataFrame (df), and its EDN shape when it is asked for."""
@@ -243,6 +256,8 @@ def _python(x: Any, type_: str) -> Any:
         return [_python(y, type_[:-1]) for y in x]
     if type_ == "keyword":
         return Keyword(str(x).lstrip(":"))
+    if type_ == "sealed":
+        return REDACTED
     if type_ == "any":
         from factloom.edn import read
 

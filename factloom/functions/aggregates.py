@@ -12,6 +12,8 @@ NUMERIC = {"sum", "avg", "variance", "stddev"}
 
 def aggregate(op: str, n: int | None, c: Column, type_: str) -> tuple[Column, str]:
     """The column of an aggregate and its type; lists have the type of their items and a star."""
+    if type_ == "sealed" and op in NUMERIC | {"min", "max", "median"}:
+        raise QueryError(f"{op} can't read a sealed value")
     if op in NUMERIC and type_ not in ("long", "double", "ref", "instant"):
         raise QueryError(f"{op} takes numbers, not {type_}")
     if n is not None:

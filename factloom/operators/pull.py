@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
-from factloom.edn import EdnList, Keyword, Symbol, order, read
+from factloom.edn import EdnList, Keyword, Symbol, Tagged, order, read
 from factloom.plans.parse import QueryError
 
 LIMIT = 1000
@@ -84,6 +84,9 @@ class _Reader:
         who = self.db.spark.createDataFrame([(e,) for e in todo], "k bigint")
         rows = self.db.facts(a).where("added").join(F.broadcast(who), F.col(side) == F.col("k")).select("k", other).collect()  # roots are the caller's own list
         for k, x in rows:
+            if a.ident in self.db.sealed:
+                cache[attr, k].append(Tagged("redacted", Keyword(a.protection.name)))
+                continue
             cache[attr, k].append(Keyword(x.lstrip(":")) if a.type == "keyword" and not reverse else x)
         for e in todo:
             cache[attr, e].sort(key=order)

@@ -211,7 +211,7 @@ def _pattern(ctx: Context, c: Pattern, frame: Frame, left: list, live: set[str])
         elif attribute is None:  # hidden
             scan = _bind(ctx, db, ctx.spark.createDataFrame([], "e bigint, v string, tx bigint, added boolean"), [(e, "e", "ref"), (v, "v", "string"), (tx, "tx", "ref"), (added, "added", "boolean")])
         else:
-            scan = _bind(ctx, db, db.facts(attribute), [(e, "e", "ref"), (v, "v", attribute.type, attribute), (tx, "tx", "ref"), (added, "added", "boolean")])
+            scan = _bind(ctx, db, db.facts(attribute), [(e, "e", "ref"), (v, "v", db.type_of(attribute), attribute), (tx, "tx", "ref"), (added, "added", "boolean")])
     wanted = live.union(frame.types, *map(all_vars, left)) if left else live | set(frame.types)
     return joined(frame, scan.keep(wanted), live)
 
@@ -294,6 +294,8 @@ def _predicate(ctx: Context, c: Predicate, frame: Frame) -> Frame:
         who = _typed(ctx, [e], frame)[0]
         return Frame(frame.df.join(ctx.db(c.source).facts(attribute).select(F.col("e").alias("__e")), same(who, (F.col("__e"), "ref")), "left_anti"), frame.types)
     args = _typed(ctx, c.args, frame)
+    if any(t == "sealed" for _, t in args):  # satisfies nothing, not even a difference
+        return Frame(frame.df.where(F.lit(False)), frame.types)
     if c.name in PREDICATES:
         return Frame(frame.df.where(PREDICATES[c.name](args, c.name)), frame.types)
     if c.name in ctx.functions:
@@ -323,6 +325,8 @@ def _function(ctx: Context, c: Function, frame: Frame) -> Frame:
     if c.name == "get-else":
         return _get_else(ctx, c, frame, target)
     args = _typed(ctx, c.args, frame)
+    if any(t == "sealed" for _, t in args):
+        raise QueryError(f"{c.name} can't read a sealed value")
     if c.name in PREDICATES:
         value, shape = (PREDICATES[c.name](args, c.name), "boolean"), "scalar"
     elif c.name in FUNCTIONS:
@@ -392,11 +396,11 @@ def _get_else(ctx: Context, c: Function, frame: Frame, target: Any) -> Frame:
     values = db.facts(attribute).groupBy(F.col("e").alias(tag + "e")).agg(F.min("v").alias(tag + "v"))
     who = _typed(ctx, [e], frame)[0]
     df = frame.df.join(values, same(who, (F.col(tag + "e"), "ref")), "left")
-    value = F.coalesce(F.col(tag + "v"), other[0]) if comparable(attribute.type, other[1]) else None
+    value = F.coalesce(F.col(tag + "v"), other[0]) if comparable(db.type_of(attribute), other[1]) else None
     if value is None:
-        value, type_ = F.coalesce(edn_text(F.col(tag + "v"), attribute.type), edn_text(*other)), "any"
+        value, type_ = F.coalesce(edn_text(F.col(tag + "v"), db.type_of(attribute)), edn_text(*other)), "any"
     else:
-        type_ = attribute.type
+        type_ = db.type_of(attribute)
     return _drop(_set(Frame(df, frame.types), target, (value, type_)))
 
 

@@ -106,7 +106,7 @@ class SqlSession:
             if star is not None:
                 out = star.select("e", *[self._shown(F.col(f"`{a.ident}`"), a).alias(a.name) for a in seen]).where(" or ".join(f"`{a.name}` is not null" for a in seen))
         if out is None:
-            parts = [self.db.facts(a).select("e", F.lit(a.name).alias("n"), *[(self._shown(F.col("v"), a) if b == a else F.lit(None).cast(self._type(b))).alias(b.name) for b in seen]) for a in seen]
+            parts = [self._facts(a).select("e", F.lit(a.name).alias("n"), *[(self._cell(a) if b == a else F.lit(None).cast(self._type(b))).alias(b.name) for b in seen]) for a in seen]
             rows = parts[0]
             for p in parts[1:]:
                 rows = rows.unionByName(p)
@@ -117,6 +117,16 @@ class SqlSession:
                 out = out.withColumn(a.name, F.array().cast(f"array<{self._type(a)}>") if a.many else F.lit(None).cast(self._type(a)))
         return out.select("e", *[a.name for a in mine])
 
+    def _facts(self, a: Any) -> DataFrame:
+        return self.db.source.attribute(a, sealed=True) if a.ident in self.db.sealed and a.protection.missing != "hide" else self.db.facts(a)
+
+    def _cell(self, a: Any) -> Any:
+        """A value as a column of the view: null where it is sealed, or an error if its class says so and it is read."""
+        if a.ident not in self.db.sealed:
+            return self._shown(F.col("v"), a)
+        none = F.lit(None)
+        return (F.raise_error(F.lit(f"no key to read :{a.ident}")) if a.protection.missing == "error" else none).cast(self._type(a))
+
     @staticmethod
     def _only(a: Any) -> Any:
         values = F.collect_set(a.name)

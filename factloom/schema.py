@@ -22,6 +22,21 @@ class SchemaError(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class Protection:
+    """A class of protected attributes: whose key seals them, what a reader without it gets, and bytes that values are padded to."""
+
+    name: str
+    missing: str = "redact"
+    padding: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.missing not in ("redact", "hide", "error"):
+            raise SchemaError(f"unknown policy {self.missing}")
+        if self.padding is not None and self.padding < 16:
+            raise SchemaError("padding is 16 or more")
+
+
 @dataclass(frozen=True)
 class Attribute:
     ident: str
@@ -33,6 +48,7 @@ class Attribute:
     no_history: bool = False
     retired: bool = False
     doc: str | None = None
+    protection: Protection | None = None
 
     def __post_init__(self) -> None:
         if self.type not in TYPES:
@@ -41,6 +57,8 @@ class Attribute:
             raise SchemaError(f"unknown uniqueness {self.unique}")
         if self.component and self.type != "ref":
             raise SchemaError(f":{self.ident}: only references can be components")
+        if self.protection is not None and (self.type == "ref" or self.unique or self.indexed):
+            raise SchemaError(f":{self.ident}: what is protected can't be a reference, unique or indexed")
 
     @property
     def namespace(self) -> str:
@@ -61,24 +79,53 @@ class Schema:
 
     @classmethod
     def from_edn(cls, forms: Iterable[dict]) -> Schema:
-        """Maps with :db/ident, :db/valueType, :db/cardinality and so on."""
+        """Maps with :db/ident, :db/valueType, :db/cardinality and so on; those with :db.protect/ident are protection classes."""
 
         def last(x: Any) -> str:
             return x.name.rpartition("/")[2] if isinstance(x, Keyword) else str(x)
 
+        maps = [{k.name: v for k, v in form.items()} for form in forms]
+        classes = {f["db.protect/ident"].name: Protection(f["db.protect/ident"].name, last(f.get("db.protect/on-missing-key", "redact")), f.get("db.protect/padding")) for f in maps if "db.protect/ident" in f}
         out = []
-        for form in forms:
-            f = {k.name: v for k, v in form.items()}
-            out.append(Attribute(f["db/ident"].name, last(f["db/valueType"]), last(f.get("db/cardinality", "one")) == "many", last(f["db/unique"]) if "db/unique" in f else None,
-                                 bool(f.get("db/isComponent")), bool(f.get("db/index")), bool(f.get("db/noHistory")), bool(f.get("db/retired")), f.get("db/doc")))
+        for f in maps:
+            if "db.protect/ident" not in f:
+                out.append(Attribute(f["db/ident"].name, last(f["db/valueType"]), last(f.get("db/cardinality", "one")) == "many", last(f["db/unique"]) if "db/unique" in f else None,
+                                     bool(f.get("db/isComponent")), bool(f.get("db/index")), bool(f.get("db/noHistory")), bool(f.get("db/retired")), f.get("db/doc"),
+                                     _class(classes, f["db/protection"].name) if "db/protection" in f else None))
         return cls.of(out)
 
     @classmethod
     def from_toml(cls, text: str) -> Schema:
-        """Tables [namespace.attribute] with type, many, unique, component, index, no_history and doc."""
+        """[[entity]] groups (name, attributes), [[attribute]] declarations (group, name) and [protect.<name>] classes.
+
+        An attribute is a type, or a table with type and many or cardinality, unique, index, component, no-history, doc and protection.
+        """
         import tomllib
 
-        return cls.of(Attribute(f"{ns}/{name}", a["type"], a.get("many", False), a.get("unique"), a.get("component", False), a.get("index", False), a.get("no_history", False), a.get("retired", False), a.get("doc")) for ns, attrs in tomllib.loads(text).items() for name, a in attrs.items())
+        top = tomllib.loads(text)
+        if more := set(top) - {"schema-version", "entity", "attribute", "protect"}:
+            raise SchemaError(f"unknown sections: {' '.join(sorted(more))}")
+        if top.get("schema-version", 1) != 1:
+            raise SchemaError("unknown schema-version")
+        classes = {f"protect/{n}": Protection(f"protect/{n}", c.get("on-missing-key", "redact"), c.get("padding")) for n, c in top.get("protect", {}).items()}
+        groups = [g["name"] for g in top.get("entity", [])]
+        if len(set(groups)) < len(groups):
+            raise SchemaError("a group has several blocks")
+        found = [(f"{g['name']}/{n}", a) for g in top.get("entity", []) for n, a in g.get("attributes", {}).items()]
+        found += [(f"{a['group']}/{a['name']}" if "group" in a else a["name"], {k: v for k, v in a.items() if k not in ("group", "name")}) for a in top.get("attribute", [])]
+        out: dict[str, Attribute] = {}
+        for ident, a in found:
+            a = {"type": a} if isinstance(a, str) else a
+            if ident in out:
+                raise SchemaError(f":{ident} is declared twice")
+            if more := set(a) - {"type", "many", "cardinality", "unique", "index", "component", "no-history", "doc", "protection"}:
+                raise SchemaError(f":{ident}: unknown options: {' '.join(sorted(more))}")
+            if "type" not in a or {"many", "cardinality"} <= set(a) or a.get("cardinality", "one") not in ("one", "many"):
+                raise SchemaError(f":{ident} needs a type and one cardinality")
+            many = a.get("many", a.get("cardinality") == "many")
+            protection = _class(classes, a["protection"]) if "protection" in a else None
+            out[ident] = Attribute(ident, a["type"], many, a.get("unique"), a.get("component", False), a.get("index", False), a.get("no-history", False), doc=a.get("doc"), protection=protection)
+        return cls(out)
 
     def get(self, ident: str | Keyword) -> Attribute:
         name = ident.name if isinstance(ident, Keyword) else ident.lstrip(":")
@@ -99,3 +146,9 @@ class Schema:
 
     def changed(self, ident: str, **what: Any) -> Schema:
         return Schema(self.attributes | {ident: replace(self.get(ident), **what)})
+
+
+def _class(classes: dict[str, Protection], name: str) -> Protection:
+    if name not in classes:
+        raise SchemaError(f"no protection class {name}")
+    return classes[name]

@@ -52,12 +52,12 @@ class LogSource:
     schema: Schema
     view: View = field(default_factory=View)
 
-    def attribute(self, a: Attribute) -> DataFrame:
-        """(e, v, tx, added) of one attribute."""
-        column = TYPES[a.type][0]
+    def attribute(self, a: Attribute, sealed: bool = False) -> DataFrame:
+        """(e, v, tx, added) of one attribute; v is ciphertext if sealed."""
+        column = "v_bytes" if sealed else TYPES[a.type][0]
         rows = self.log.where(F.col("attr") == a.ident).select("e", "attr", F.col(column).alias("v"), "t", "seq", "added")
         rows = folded(rows, self.view, ["e", "attr", "v"], [x.ident for x in self.schema.attributes.values() if x.no_history])
-        return rows.select("e", shown(F.col("v"), a.type).alias("v"), tx_of(F.col("t")).alias("tx"), "added")
+        return rows.select("e", (F.col("v") if sealed else shown(F.col("v"), a.type)).alias("v"), tx_of(F.col("t")).alias("tx"), "added")
 
     def star(self, attributes: Sequence[Attribute]) -> DataFrame | None:
         """(e, one column an attribute) for cardinality-one attributes, in one scan: a pivot by entity."""
@@ -73,8 +73,7 @@ class LogSource:
         """(e, attr, v, tx, added) with v as EDN text, for patterns whose attribute is a variable."""
         columns = [c for c, _ in VALUES]
         rows = folded(self.log.where(F.col("attr").isin(list(self.schema.attributes))), self.view, ["e", "attr", "vt", *columns], [x.ident for x in self.schema.attributes.values() if x.no_history])
-        v = F.coalesce(*[edn_text(shown(F.col(column), t), t) for t, (column, _) in TYPES.items()])
-        return rows.select("e", "attr", v.alias("v"), tx_of(F.col("t")).alias("tx"), "added")
+        return rows.select("e", "attr", log_text().alias("v"), tx_of(F.col("t")).alias("tx"), "added")
 
     def at(self, view: View) -> LogSource:
         return LogSource(self.log, self.schema, view)
@@ -158,11 +157,17 @@ def edn_text(v: Column, type_: str) -> Column:
         return F.concat(F.lit('#uuid "'), v, F.lit('"'))
     if type_ == "keyword":
         return F.concat(F.lit(":"), F.ltrim(v, F.lit(":")))
-    if type_ == "bytes":
-        return F.concat(F.lit("#bytes "), F.hex(v))
+    if type_ in ("bytes", "sealed"):
+        return F.concat(F.lit(f"#{type_} "), F.lit('"' if type_ == "sealed" else ""), F.hex(v), F.lit('"' if type_ == "sealed" else ""))
     return v.cast("string")
 
 
+def log_text() -> Column:
+    """A log row's value as EDN text."""
+    plain = F.coalesce(*[edn_text(shown(F.col(column), t), t) for t, (column, _) in TYPES.items()])
+    return F.when(F.col("vt") == "sealed", edn_text(F.col("v_bytes"), "sealed")).otherwise(plain)
+
+
 def read_log(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
     """The committed transactions under path; until pins the basis."""
     schema = T._parse_datatype_string(LOG)

@@ -14,7 +14,7 @@ from factloom.plans import build
 from factloom.plans.mutation import execute
 from factloom.plans.parse import QueryError, parse
 from factloom.plans.sql import SqlSession
-from factloom.schema import Attribute, Schema
+from factloom.schema import Attribute, Protection, Schema, SchemaError
 from factloom.sources.connection import BasisMismatch, Connection, TxError
 from factloom.streaming.reports import subscribe
 
@@ -195,6 +195,8 @@ def test_schema_changes(spark, tmp_path):
     assert c.db().q("[:find (count ?e) . :where [?e :p/age _]]").value() == 1
     assert c.db().q("[:find ?d . :where [_ :db/schemaDigest ?d]]").value() == made.digest
     assert not migration.plan(c.db(), want).steps
+    shut = migration.plan(c.db(), want.changed("p/nick", protection=Protection("protect/pii"))).steps
+    assert [(s.key, s.blocked, s.old, s.new) for s in shut] == [("p/nick:protection", "protection-change", None, "protect/pii")]
 
 
 def test_access(spark):
@@ -322,6 +324,86 @@ def test_demand_is_narrow(spark):
     assert plan.demanded(ctx, parsing.RuleCall("reach", [parsing.Var("?a"), parsing.Var("?b")]), plan.Frame()) is None
 
 
+PROTECTED = """
+schema-version = 1
+[protect.pii]
+on-missing-key = "redact"
+padding = 32
+[protect.hr]
+on-missing-key = "hide"
+[protect.law]
+on-missing-key = "error"
+[[entity]]
+name = "w"
+[entity.attributes]
+name = { type = "string", unique = "identity" }
+ssn = { type = "string", protection = "protect/pii" }
+born = { type = "instant", protection = "protect/pii" }
+tags = { type = "bytes", many = true, protection = "protect/pii" }
+pay = { type = "double", protection = "protect/hr" }
+case = { type = "long", protection = "protect/law" }
+[[attribute]]
+group = "w"
+name = "age"
+type = "long"
+"""
+
+
+def test_sealed(spark, tmp_path):
+    """What holders of no, some and all keys read and write."""
+    import datetime as dt
+
+    schema = Schema.from_toml(PROTECTED)
+    keys = {"protect/pii": b"k" * 32, "protect/hr": b"h" * 16, "protect/law": b"l" * 32}
+    full, none = (Connection(spark, str(tmp_path / "x"), schema, k) for k in (keys, None))
+    born = dt.datetime(1990, 5, 6, 7, 8, 9, 123000)
+    full.transact([{K("w/name"): n, K("w/ssn"): s, K("w/born"): born, K("w/tags"): [b"a", b"\x00b"], K("w/pay"): p, K("w/case"): 7, K("w/age"): 30} for n, s, p in (("A", "1:2 \u00e9\U0001f600", 0.1), ("B", "1:2 \u00e9\U0001f600", 1e300), ("C", "", -0.5))])
+    full.transact('[{:w/name "C" :w/ssn "9"}]')
+    assert b"1:2" not in b"".join(f.read_bytes() for f in (tmp_path / "x" / "log").rglob("*.parquet"))
+    db, shut = full.db(), none.db()
+    both = "[:find ?n ?s :where [?e :w/name ?n] [?e :w/ssn ?s]]"
+    assert db.q(both).value() == [["A", "1:2 \u00e9\U0001f600"], ["B", "1:2 \u00e9\U0001f600"], ["C", "9"]] and db.as_of(1).q(both).value()[2] == ["C", ""]
+    assert db.q("[:find ?n ?p :where [?e :w/name ?n] [?e :w/pay ?p]]").value() == [["A", 0.1], ["B", 1e300], ["C", -0.5]]
+    assert db.pull("[:w/born :w/tags]", [K("w/name"), "B"]) == {K("w/born"): int(born.replace(tzinfo=dt.timezone.utc).timestamp() * 1000), K("w/tags"): [b"\x00b", b"a"]}
+    assert full.transact('[{:w/name "A" :w/pay 0.1}]').tx_data[0][1] == "db/txInstant"
+    assert len(db.history().q("[:find ?s ?a :where [?e :w/name \"C\"] [?e :w/ssn ?s _ ?a]]").value()) == 3
+
+    assert [r[0] for r in shut.q(both).value()] == ["A", "B", "C"] and edn.write(shut.q(both).value()[0][1]) == "#redacted nil"
+    assert shut.q("[:find (count ?s) . :where [_ :w/ssn ?s]]").value() == 2  # equal values look equal
+    assert shut.q("[:find ?x ?y :where [?e :w/ssn ?s] [?f :w/ssn ?s] [?e :w/name ?x] [?f :w/name ?y] [(< ?x ?y)]]").value() == [["A", "B"]]
+    for where in ('[?e :w/ssn "9"]', '[?e :w/ssn ?s] [(!= ?s "9")]', '[?e :w/ssn ?s] [(= ?s ?s)]', "[?e :w/pay _]"):
+        assert shut.q(f"[:find ?e :where {where}]").value() == [], where
+    for find, where in (("?c", "[_ :w/case ?c]"), ("(max ?s)", "[_ :w/ssn ?s]"), ("?x", "[_ :w/ssn ?s] [(str ?s) ?x]")):
+        with pytest.raises(QueryError):
+            shut.q(f"[:find {find} :where {where}]")
+    assert edn.write(shut.pull("[:w/ssn :w/pay :w/age]", [K("w/name"), "A"])) == "{:w/age 30, :w/ssn #redacted :protect/pii}"
+    assert [tuple(r) for r in SqlSession(shut).query("select name, ssn, tags, pay, age from w order by name").collect()] == [(n, None, [], None, 30) for n in "ABC"]
+    assert [tuple(r) for r in SqlSession(db).query("select name, pay from w where case = 7 and ssn = '9'").collect()] == [("C", -0.5)]
+    for query in ("select case from w", "select v from sys.datoms"):
+        with pytest.raises(Exception, match="no key to read"):
+            SqlSession(shut).query(query).collect()
+    for forms in ('[{:w/name "A" :w/ssn "5"}]', '[[:db/retractEntity [:w/name "A"]]]', '[[:db/retract [:w/name "C"] :w/ssn]]'):
+        with pytest.raises(TxError):
+            none.transact(forms)
+    none.transact('[{:w/name "A" :w/age 31}]')
+    some = Connection(spark, str(tmp_path / "x"), schema, {"protect/pii": b"k" * 32}).db()
+    assert some.q("[:find ?s ?a :where [?e :w/name \"A\"] [?e :w/ssn ?s] [?e :w/age ?a]]").value() == [["1:2 \u00e9\U0001f600", 31]]
+    with pytest.raises(Exception):  # not the key that sealed it
+        Connection(spark, str(tmp_path / "x"), schema, {"protect/pii": b"q" * 32}).db().q(both).value()
+
+
+def test_schema_texts():
+    classes = '[{:db.protect/ident :protect/pii :db.protect/key "file:/k" :db.protect/on-missing-key :db.protect.missing/hide} {:db/ident :w/ssn :db/valueType :db.type/string :db/protection :protect/pii}]'
+    assert Schema.from_edn(edn.read(classes)).get(":w/ssn").protection.missing == "hide"
+    flat = Schema.from_toml('[[entity]]\nname = "o"\n[entity.attributes]\nemployees = { type = "ref", cardinality = "many" }\n[[attribute]]\nname = "created-at"\ntype = "instant"\nindex = true')
+    assert (flat.get("o/employees").many, flat.get("created-at").indexed) == (True, True)
+    entity = '[[entity]]\nname = "a"\n[entity.attributes]\n'
+    for bad in (entity + 'x = { type = "long", many = true, cardinality = "one" }', entity + 'x = { index = true }', entity + 'x = "money"', entity + 'x = { type = "long", protection = "protect/no" }',
+                entity + 'x = "long"\n[[attribute]]\ngroup = "a"\nname = "x"\ntype = "long"', "[table]\nx = 1", '[protect.p]\n' + entity + 'x = { type = "ref", protection = "protect/p" }'):
+        with pytest.raises(SchemaError):
+            Schema.from_toml(bad)
+
+
 def test_scan_shapes(spark):
     """A star is one scan; a filter reaches Parquet."""
     from factloom.plans.warehouse import warehouse
