@@ -7,8 +7,8 @@ Golay blocks of max(0, distance - 3): how far it is beyond the covering radius.
 distance 3 or less take a point z between them, at most 1 from x and at most 2 from y, and the anchor that
 covers z: x has excess at most 1 there and y at most 2. So it is enough to replicate each fingerprint to
 the anchors within the covering radius plus 2 and to compare, per anchor, those within radius plus 1
-with all: the threshold is shared by the two sides, and a fingerprint has 68 copies where the whole
-threshold on one side would take 326.
+with all: the threshold is shared by the two sides, and a fingerprint has 61 copies on average where the
+whole threshold on one side would take 302.
 """
 
 from __future__ import annotations
