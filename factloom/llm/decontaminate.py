@@ -1,8 +1,8 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 The index holds a posting (document row, term, position) for each occurrence of a test term, that is a word
-that some benchmark item has; no other term can matter to a phrase. For each window of an item its rarest
-term in the corpus is its anchor. Postings of anchors, less the anchor's offset in the item, are where an
+that some benchmark item has; no other term can matter to a phrase. For each window of an item its two rarest
+terms in the corpus are its anchors. Where the postings of both, less their offsets in the item, meet, an
 item may lie in a document; there the postings of the other terms, less their offsets, are intersected.
 Runs of WINDOW or more consecutive offsets found are exact phrase matches.
 """
@@ -70,12 +70,19 @@ def matches(postings: DataFrame, item_words: DataFrame, window: int = WINDOW) ->
     ranked = written(item_words.join(often, "term", "left"), "ranked")
     ahead = Window.partitionBy("iid").orderBy("off").rowsBetween(0, window - 1)
     width = F.least(F.col("n"), F.lit(window))
-    windows = ranked.withColumn("least", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term")).over(ahead)).where((F.col("off") <= F.col("n") - width) & (F.col("least.df") > 0))
-    anchors = windows.groupBy("iid", F.col("least.off").alias("at"), F.col("least.term").alias("term")).agg(F.min("off").alias("lo"), F.max(F.col("off") + width - 1).alias("hi"))
+    rare = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term")).over(ahead))
+    windows = ranked.withColumn("rare", rare).where((F.col("off") <= F.col("n") - width) & (F.get("rare", F.lit(0))["df"] > 0))
+    both = [F.get("rare", F.lit(k))[c].alias(n) for k, c, n in ((0, "off", "at"), (0, "term", "term"), (1, "off", "at2"), (1, "term", "term2"))]
+    anchors = windows.groupBy("iid", *both).agg(F.min("off").alias("lo"), F.max(F.col("off") + width - 1).alias("hi"))
     anchors = written(anchors, "anchors")
-    # postings of anchors, less their offsets; then what the items would have around them
-    seeds = postings.where("term > 0").select("rid", "term", "pos").join(small(anchors), "term")
-    seeds = seeds.select("rid", "iid", (F.col("pos") - F.col("at")).alias("shift"), "lo", "hi").distinct()
+    # where both anchors' postings, less their offsets, meet (a window of one word has one); then what the items would have around them
+    own = postings.where("term > 0").select("rid", "term", "pos")
+    seeds = own.join(small(anchors), "term").withColumn("shift", F.col("pos") - F.col("at"))
+    second = own.join(small(written(anchors.select(F.col("term2").alias("term")).distinct(), "seconds")), "term", "left_semi")
+    second = second.select("rid", F.col("term").alias("term2"), F.col("pos").alias("pos2"))
+    met = seeds.where("term2 is not null").withColumn("pos2", F.col("shift") + F.col("at2")).join(second, ["rid", "term2", "pos2"], "left_semi")
+    place = ["rid", "iid", "shift", "lo", "hi"]
+    seeds = met.select(*place).unionByName(seeds.where("term2 is null").select(*place)).distinct()
     wanted = seeds.select("rid", "iid", "shift", F.explode(F.sequence("lo", "hi")).alias("off")).distinct()
     wanted = written(wanted.join(small(ranked.select("iid", "off", "term", "n")), ["iid", "off"]).withColumn("pos", F.col("shift") + F.col("off")), "wanted")
     near = written(wanted.select("rid").distinct(), "near")
