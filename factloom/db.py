@@ -132,7 +132,7 @@ class Db:
 
     def with_(self, rows: DataFrame) -> Db:
         """A database with more log rows, without committing them."""
-        source = LogSource(self.log().unionByName(rows), self.schema, self.source.view)
+        source = replace(self.source, log=self.log().unionByName(rows), schema=self.schema)
         return replace(self, source=source, basis_t=self.basis_t + 1)
 
     # Raw access

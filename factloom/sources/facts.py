@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,25 +47,48 @@ def folded(log: DataFrame, view: View, keys: Sequence[str], no_history: Sequence
 
 @dataclass(frozen=True)
 class LogSource:
-    """Facts of a log DataFrame (see LOG). With a path the log is a folder of t=<n> folders, and attr filters reach Parquet."""
+    """Facts of a log DataFrame (see LOG), and maybe a snapshot: the log's rows that were current at snapshot_t.
+
+    Views of a basis at the snapshot or later read it with the log after it, so the log before it isn't folded again.
+    """
 
     log: DataFrame
     schema: Schema
     view: View = field(default_factory=View)
+    snapshot: DataFrame | None = None
+    snapshot_t: int = 0
+
+    def _folded(self, shape: Callable[[DataFrame], DataFrame], keys: Sequence[str], no_history: Sequence[str] = ()) -> DataFrame:
+        """folded() of shape(log), where shape filters and projects rows."""
+        view = self.view
+        if self.snapshot is None or view.kind == "history" or view.kind == "as-of" and view.t < self.snapshot_t:
+            return folded(shape(self.log), view, keys, no_history)
+        tail = self.log.where(F.col("t") > self.snapshot_t)
+        tail = tail.where(F.col("t") <= view.t) if view.kind == "as-of" else tail
+        last = shape(tail).groupBy(*keys).agg(F.max(F.struct("t", "seq", "added")).alias("last"))
+        touched = last.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        names = [*keys, "t", "seq", "added"]
+        # no shuffle of the snapshot while what came after it is small
+        kept = shape(self.snapshot).join(touched, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti").select(*names)
+        out = kept.unionByName(last.where("last.added").select(*keys, "last.t", "last.seq", "last.added"))
+        return out.where(F.col("t") > view.t) if view.kind == "since" else out
+
+    def current(self) -> DataFrame:
+        """The log's own rows that the view shows."""
+        return self._folded(lambda log: log, [c for c in self.log.columns if c not in ("t", "seq", "added")])
 
     def attribute(self, a: Attribute, sealed: bool = False) -> DataFrame:
         """(e, v, tx, added) of one attribute; v is ciphertext if sealed."""
         column = "v_bytes" if sealed else TYPES[a.type][0]
-        rows = self.log.where(F.col("attr") == a.ident).select("e", "attr", F.col(column).alias("v"), "t", "seq", "added")
-        rows = folded(rows, self.view, ["e", "attr", "v"], [x.ident for x in self.schema.attributes.values() if x.no_history])
+        shape = lambda log: log.where(F.col("attr") == a.ident).select("e", "attr", F.col(column).alias("v"), "t", "seq", "added")
+        rows = self._folded(shape, ["e", "attr", "v"], [x.ident for x in self.schema.attributes.values() if x.no_history])
         return rows.select("e", (F.col("v") if sealed else shown(F.col("v"), a.type)).alias("v"), tx_of(F.col("t")).alias("tx"), "added")
 
     def star(self, attributes: Sequence[Attribute]) -> DataFrame | None:
         """(e, one column an attribute) for cardinality-one attributes, in one scan: a pivot by entity."""
         if self.view.kind == "history" or any(a.many for a in attributes) or len(attributes) < 2:
             return None
-        rows = self.log.where(F.col("attr").isin([a.ident for a in attributes]))
-        rows = folded(rows, self.view, ["e", "attr", *dict.fromkeys(TYPES[a.type][0] for a in attributes)])
+        rows = self._folded(lambda log: log.where(F.col("attr").isin([a.ident for a in attributes])), ["e", "attr", *dict.fromkeys(TYPES[a.type][0] for a in attributes)])
         picks = [F.max(F.when(F.col("attr") == a.ident, F.col(TYPES[a.type][0]))).alias(a.ident) for a in attributes]
         out = rows.groupBy("e").agg(*picks)
         return out.select("e", *[shown(F.col(f"`{a.ident}`"), a.type).alias(a.ident) for a in attributes])
@@ -72,11 +96,11 @@ class LogSource:
     def everything(self) -> DataFrame:
         """(e, attr, v, tx, added) with v as EDN text, for patterns whose attribute is a variable."""
         columns = [c for c, _ in VALUES]
-        rows = folded(self.log.where(F.col("attr").isin(list(self.schema.attributes))), self.view, ["e", "attr", "vt", *columns], [x.ident for x in self.schema.attributes.values() if x.no_history])
+        rows = self._folded(lambda log: log.where(F.col("attr").isin(list(self.schema.attributes))), ["e", "attr", "vt", *columns], [x.ident for x in self.schema.attributes.values() if x.no_history])
         return rows.select("e", "attr", log_text().alias("v"), tx_of(F.col("t")).alias("tx"), "added")
 
     def at(self, view: View) -> LogSource:
-        return LogSource(self.log, self.schema, view)
+        return replace(self, view=view)
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import random
 
@@ -392,6 +393,35 @@ def test_sealed(spark, tmp_path):
         Connection(spark, str(tmp_path / "x"), schema, {"protect/pii": b"q" * 32}).db().q(both).value()
 
 
+def test_snapshots(spark, tmp_path):
+    """Every view is the same with snapshots as without, of plain and of sealed values, whatever came after them."""
+    rng = random.Random(3)
+    schema = SCHEMA.merged(Schema.of([Attribute("p/pin", "string", protection=Protection("pii"))]))
+    c = Connection(spark, str(tmp_path / "n"), schema, {"pii": b"k" * 16})
+    assert c.snapshot() == 0
+    views = lambda db, t: [db, db.as_of(1), db.as_of(t - 1), db.since(t - 2), db.history()]
+    reads = ("[:find ?n ?a :where [?e :p/name ?n] [?e :p/age ?a]]", "[:find ?n ?k :where [?e :p/nick ?k] [?e :p/name ?n]]", "[:find ?e ?p ?t :where [?e :p/pin ?p ?t]]", "[:find ?e ?a ?v :where [?e ?a ?v]]")
+    for t in range(1, 8):
+        forms = [{K("p/name"): f"n{i}", K("p/age"): rng.randrange(3), K("p/nick"): [rng.choice("xyz")], K("p/pin"): rng.choice("12")} for i in rng.sample(range(5), 3)]
+        if t > 2:
+            forms = [*forms, [K("db/retract"), [K("p/name"), forms[0][K("p/name")]], K("p/nick")]] if c.db().lookup("p/name", forms[0][K("p/name")]) else forms
+        c.transact(forms)
+        if t in (3, 5):
+            assert c.snapshot() == c.snapshot() == t
+        if t in (3, 6, 7):
+            with_, without = c.db(), c.db()
+            without = dataclasses.replace(without, source=dataclasses.replace(without.source, snapshot=None))
+            assert with_.source.snapshot_t == (3 if t == 3 else 5)
+            for a, b in zip(views(with_, t), views(without, t)):
+                for read in reads:
+                    assert a.q(read).value() == b.q(read).value(), (t, read)
+    assert "LeftAnti" in c.db().q(reads[1]).df._jdf.queryExecution().toString()
+    assert c.compact().count() == c.db().everything().count()
+    assert b"pin" in b"".join(f.read_bytes() for f in (tmp_path / "n" / "current").rglob("*.parquet"))
+    shut = Connection(spark, str(tmp_path / "n"), schema).db()
+    assert shut.q("[:find (count ?p) . :with ?e :where [?e :p/pin ?p]]").value() == c.db().q("[:find (count ?p) . :with ?e :where [?e :p/pin ?p]]").value()
+
+
 def test_schema_texts():
     classes = '[{:db.protect/ident :protect/pii :db.protect/key "file:/k" :db.protect/on-missing-key :db.protect.missing/hide} {:db/ident :w/ssn :db/valueType :db.type/string :db/protection :protect/pii}]'
     assert Schema.from_edn(edn.read(classes)).get(":w/ssn").protection.missing == "hide"
