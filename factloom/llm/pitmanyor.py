@@ -1,7 +1,7 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Restaurants: one for each context, a context being one of CONTEXTS - 1 hash classes of the word before, or the
-start of a text; all share one parent, the restaurant of words without context, whose base gives each of
+Restaurants: one for each context, a context being the word before (its 64-bit hash), or the start of a text,
+which follows the end of another; all share one parent, the restaurant of words without context, whose base gives each of
 the V known tokens, and all unknown ones together, 1 / (V + 1). A dish is a token. A context restaurant
 keeps for each dish its customers c and tables t; the tables are the parent's customers.
 
@@ -11,10 +11,11 @@ EXACT customers they are seated in groups of a sixteenth of those seated, at one
 score averages the predictive probabilities over SAMPLES sweeps after BURN_IN.
 
 How it is spread out: a task turns its documents into blocks of tokens and sends, for each bucket of words, the
-block's distinct (word, context) pairs with their training counts; a hot word has CONTEXTS pairs a block at
-most. A bucket owns its words' dishes in all restaurants and in the parent, so a sweep needs nothing from
-other buckets but the tables of each restaurant: a vector of fixed length, summed between sweeps. In the end
-buckets answer each block's pairs, and blocks sum up their documents. Every stage's result is a table in
+block's distinct (word, context) pairs with their training counts. A bucket owns its words' dishes in all
+restaurants and in the parent, so a sweep needs nothing from other buckets but the customers and tables of each
+restaurant. Between sweeps a bucket sends what it has of each context to the context's own bucket, which adds
+up and answers; contexts whose customers are all in one bucket are left out after the first time. In the end
+buckets answer each block's pairs, and blocks sum up their documents. Every sweep's result is a table in
 the shared folder.
 """
 
@@ -35,14 +36,17 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, new_path
 
-CONTEXTS = 4096
+#: Contexts to a message of customers and tables, at most.
+CONTEXTS = 1 << 16
 BURN_IN, SAMPLES, EXACT, SEED = 1, 2, 64, 42
 CONCENTRATION = 1.0
 #: Bytes of text to a bucket of words; tokens to a block.
 BUCKET_BYTES, BLOCK_TOKENS = 24_000_000, 1 << 20
 END = np.uint64(1)
 MESSAGE = "kind int, bucket int, block long, data binary"
-#: What is summed over the buckets: a number for each context, then these.
+#: The block of a bucket's state, before those of messages; the answers about its contexts follow it.
+STATE = -(1 << 62)
+#: What is summed over all buckets.
 REST = ("words", "tokens", "once", "twice", "root_once", "root_twice", "customers", "tables")
 
 
@@ -98,21 +102,21 @@ def _encode(buckets: int):
             inner = np.ones(len(word), bool)
             inner[ends - 1] = False
             word[inner] = np.concatenate(ids)
-            context = 1 + (hashes[word] >> np.uint64(40)).astype(np.int64) % (CONTEXTS - 1)
-            context = np.r_[0, context[:-1]]
-            context[ends[:-1]] = 0
             order = np.lexsort((hashes, hashes % np.uint64(buckets)))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            pairs, pair = np.unique(rank[word] * CONTEXTS + context, return_inverse=True)
+            word = rank[word]
+            context = np.r_[rank[-1], word[:-1]]  # a text follows an end
+            pairs, pair = np.unique(word * len(order) + context, return_inverse=True)
             learn = np.repeat(~np.array(held, bool), lengths)
             train = np.bincount(pair[learn], minlength=len(pairs)).astype(np.uint32)
-            of, hashes = pairs // CONTEXTS, hashes[order]
+            of, context, hashes = pairs // len(order), hashes[order][pairs % len(order)], hashes[order]
             where = (hashes % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(where):
                 lo, hi = np.searchsorted(where, [b, b + 1])
                 first, last = np.searchsorted(of, [lo, hi])
-                yield _row(0, int(b), block, packed(hashes[lo:hi], np.bincount(of[first:last] - lo, minlength=hi - lo).astype(np.uint32), (pairs[first:last] % CONTEXTS).astype(np.uint16), train[first:last]))
+                contexts, k = np.unique(context[first:last], return_inverse=True)
+                yield _row(0, int(b), block, packed(hashes[lo:hi], np.bincount(of[first:last] - lo, minlength=hi - lo).astype(np.uint32), contexts, k.astype(np.uint32), train[first:last]))
             # a document's pairs in ascending order, as differences
             doc = np.repeat(np.arange(len(lengths)), lengths)
             pair = pair[np.lexsort((pair, doc))]
@@ -142,20 +146,20 @@ def _encode(buckets: int):
 # Buckets of words
 
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(words, pairs of each, contexts, customers) that add up parts."""
-    words = np.unique(np.concatenate([p[0] for p in parts]))
-    key = np.concatenate([np.repeat(np.searchsorted(words, w), n) * CONTEXTS + k for w, n, k, _ in parts])
+    """(words, pairs of each, contexts, each pair's place in them, customers) that add up parts."""
+    words, contexts = np.unique(np.concatenate([p[0] for p in parts])), np.unique(np.concatenate([p[2] for p in parts]))
+    key = np.concatenate([np.repeat(np.searchsorted(words, w), n) * len(contexts) + np.searchsorted(contexts, h)[k] for w, n, h, k, _ in parts])
     key, at = np.unique(key, return_inverse=True)
-    c = np.bincount(at, np.concatenate([p[3] for p in parts]), len(key)).astype(np.int64)
-    return words, np.bincount(key // CONTEXTS, minlength=len(words)), (key % CONTEXTS).astype(np.int64), c
+    c = np.bincount(at, np.concatenate([p[4] for p in parts]), len(key)).astype(np.int64)
+    return words, np.bincount(key // len(contexts), minlength=len(words)), contexts, key % len(contexts), c
 
 
 def _learned(message: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """A message without the pairs and words that only held-out texts have."""
-    words, n, k, c = message
+    """A message without the pairs and words that only held-out texts have; their contexts stay, to be asked for."""
+    words, n, contexts, k, c = message
     seen = c > 0
     n = np.bincount(np.repeat(np.arange(len(words)), n)[seen], minlength=len(words))
-    return words[n > 0], n[n > 0], k[seen].astype(np.int64), c[seen].astype(np.int64)
+    return words[n > 0], n[n > 0], contexts, k[seen].astype(np.int64), c[seen].astype(np.int64)
 
 
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -174,47 +178,117 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
     return np.minimum(out, customers)
 
 
-def _totals(sums: dict[str, np.ndarray | float]) -> np.ndarray:
-    return np.r_[sums["context"], [sums.get(k, 0) for k in REST]].astype(np.float64)
+def _totals(sums: dict[str, float]) -> np.ndarray:
+    return np.array([sums.get(k, 0) for k in REST], np.float64)
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Messages, a bucket at a time, to states (kind 2), and what the task's buckets sum up to (kind 3)."""
-    total = np.zeros(CONTEXTS + len(REST))
+def _shared(customers: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The contexts to ask about: of unknown customers (-1), or with some in other buckets."""
+    return np.flatnonzero(customers != own)
 
-    def done(bucket: int, parts: list) -> Iterator[pa.RecordBatch]:
-        nonlocal total
-        words, n, k, c = _merge(parts)
-        root = np.ones(len(words), np.int64)
-        total += _totals({"context": np.bincount(k, c, CONTEXTS), "words": len(words), "tokens": c.sum(), "once": (c == 1).sum(), "twice": (c == 2).sum(), "root_once": (n == 1).sum(), "root_twice": (n == 2).sum(), "customers": len(c), "tables": len(words)})
-        yield _row(2, bucket, -1, packed(words, n.astype(np.uint32), k.astype(np.uint16), c.astype(np.uint64), np.ones(len(c), np.uint32), root.astype(np.uint32)))
 
-    now, parts, size = None, [], 0
+def _ask(buckets: int, bucket: int, contexts: np.ndarray, customers: np.ndarray, k: np.ndarray, c: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A bucket's part of the customers and tables of the contexts it shares: kind 5, to the contexts' buckets."""
+    own, tables = np.bincount(k, c, len(contexts)).astype(np.uint64), np.bincount(k, t, len(contexts)).astype(np.uint64)
+    shared = _shared(customers, own.astype(np.int64))
+    hashes, own, tables = contexts[shared], own[shared], tables[shared]
+    # by range, so that the contexts of a bucket stand together
+    to = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    for b in np.unique(to):
+        first, last = (int(x) for x in np.searchsorted(to, [b, b + 1]))
+        for lo in range(first, last, CONTEXTS):
+            hi = min(last, lo + CONTEXTS)
+            yield _row(5, int(b), STATE + 1 + lo, struct.pack("<q", bucket) + packed(hashes[lo:hi], own[lo:hi], tables[lo:hi]))
+
+
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages of kind 5, a contexts' bucket at a time, to answers (kind 6): customers and tables over all buckets."""
+
+    def done(asked: list) -> Iterator[pa.RecordBatch]:
+        hashes, at = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([a[i] for a in asked]), len(hashes)).astype(np.uint64)[at] for i in (3, 4)]
+        first = 0
+        for bucket, block, h, *_ in asked:
+            yield _row(6, bucket, block, packed(*(x[first : first + len(h)] for x in sums)))
+            first += len(h)
+
+    now, asked = None, []
     for batch in batches:
-        for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3)):
-            if bucket != now and parts:
-                yield from done(now, parts)
-                parts, size = [], 0
-            now = bucket
-            parts.append(_learned(unpacked(data.as_py())))
-            size += len(parts[-1][2])
-            if size > 4_000_000 and len(parts) > 1:
-                parts = [_merge(parts)]
-                size = len(parts[0][2]) // 2
-    if parts:
-        yield from done(now, parts)
-    yield _row(3, -1, -1, packed(total))
+        for bucket, block, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            if bucket != now and asked:
+                yield from done(asked)
+                asked = []
+            now, data = bucket, data.as_py()
+            asked.append((struct.unpack_from("<q", data)[0], block, *unpacked(data[8:])))
+    if asked:
+        yield from done(asked)
+
+
+class State:
+    """A bucket's state (kind 2) with the answers (kind 6) that follow it."""
+
+    def __init__(self, data: bytes):
+        self.words, self.n, self.contexts, self.customers, self.k, self.c, *self.past = unpacked(data)
+        self.answers: list[list[np.ndarray]] = []
+
+    def join(self) -> None:
+        """Takes the answers over; past ends with the tables of each context then."""
+        t = self.past[-2]
+        own, tables = np.bincount(self.k, self.c, len(self.contexts)).astype(np.int64), np.bincount(self.k, t, len(self.contexts)).astype(np.int64)
+        shared = _shared(self.customers, own)
+        if self.answers:
+            self.customers = self.customers.copy()
+            self.customers[shared], tables[shared] = (np.concatenate(x).astype(np.int64) for x in zip(*self.answers))
+        self.past.append(tables)
+
+    def weights(self, counts: np.ndarray, tables: np.ndarray, of: np.ndarray) -> Weights:
+        return Weights(np.r_[self.customers, counts], np.r_[of, tables])
+
+
+def _collect(buckets: int):
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Messages, a bucket at a time, to states (kind 2), questions (kind 5), and what the task's buckets sum up to (kind 3)."""
+        total = np.zeros(len(REST))
+
+        def done(bucket: int, parts: list) -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            words, n, contexts, k, c = _merge(parts)
+            root, t, customers = np.ones(len(words), np.int64), np.ones(len(c), np.uint32), np.full(len(contexts), -1, np.int64)
+            total += _totals({"words": len(words), "tokens": c.sum(), "once": (c == 1).sum(), "twice": (c == 2).sum(), "root_once": (n == 1).sum(), "root_twice": (n == 2).sum(), "customers": len(c), "tables": len(words)})
+            yield _row(2, bucket, STATE, packed(words, n.astype(np.uint32), contexts, customers, k.astype(np.uint32), c.astype(np.uint64), t, root.astype(np.uint32)))
+            yield from _ask(buckets, bucket, contexts, customers, k, c, t)
+
+        now, parts, size = None, [], 0
+        for batch in batches:
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3)):
+                if bucket != now and parts:
+                    yield from done(now, parts)
+                    parts, size = [], 0
+                now = bucket
+                parts.append(_learned(unpacked(data.as_py())))
+                size += len(parts[-1][3])
+                if size > 4_000_000 and len(parts) > 1:
+                    parts = [_merge(parts)]
+                    size = len(parts[0][3]) // 2
+        if parts:
+            yield from done(now, parts)
+        yield _row(3, -1, -1, packed(total))
+
+    return collect
 
 
 class Weights:
-    """What restaurants share: customers and tables of each context, and of the parent, and the discounts."""
+    """What restaurants share: customers and tables of each context, and of the parent, and the discounts.
+
+    counts and tables: a number for each of the contexts at hand, then REST.
+    """
 
     def __init__(self, counts: np.ndarray, tables: np.ndarray):
-        rest, now = dict(zip(REST, counts[CONTEXTS:])), dict(zip(REST, tables[CONTEXTS:]))
+        rest, now = dict(zip(REST, counts[-len(REST) :])), dict(zip(REST, tables[-len(REST) :]))
         share = lambda one, two: min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
         self.discount, self.root_discount = share(rest["once"], rest["twice"]), share(rest["root_once"], rest["root_twice"])
         self.words, self.tokens = int(rest["words"]), int(rest["tokens"])
-        self.customers, self.tables = counts[:CONTEXTS], tables[:CONTEXTS]
+        self.customers, self.tables = counts[: -len(REST)], tables[: -len(REST)]
         self.root_customers, self.root_tables, self.base = now["customers"], now["tables"], 1 / (rest["words"] + 1)
 
     def new(self) -> np.ndarray:
@@ -226,57 +300,81 @@ class Weights:
         return (customers - self.root_discount * tables + below) / (CONCENTRATION + self.root_customers)
 
 
-def _sweep(weights: Weights, round_: int):
+def _sweep(buckets: int, counts: np.ndarray, tables: np.ndarray, round_: int):
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS + len(REST))
+        total = np.zeros(len(REST))
+
+        def done(bucket: int, s: State) -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            s.join()
+            words, n, k, c, past = s.words, s.n, s.k, s.c, s.past
+            weights = s.weights(counts, tables, past[-1])
+            t, root = past[-3].astype(np.int64), past[-2].astype(np.int64)
+            of, c_ = np.repeat(np.arange(len(words)), n), c.astype(np.int64)
+            rng = np.random.default_rng([SEED, round_, bucket])
+            parent = weights.root(np.bincount(of, t, len(words)), root)
+            new = (weights.new()[k] - weights.discount * t) * parent[of]
+            t = seat(c_, new, weights.discount, rng)
+            guests = np.bincount(of, t, len(words)).astype(np.int64)
+            base = (CONCENTRATION + weights.root_discount * (weights.root_tables - root)) * weights.base
+            root = seat(guests, base, weights.root_discount, rng)
+            total += _totals({"customers": guests.sum(), "tables": root.sum()})
+            kept = [x.astype(np.uint32) for x in past] if round_ > BURN_IN else []
+            yield _row(2, bucket, STATE, packed(words, n, s.contexts, s.customers, k, c, *kept, t.astype(np.uint32), root.astype(np.uint32)))
+            yield from _ask(buckets, bucket, s.contexts, s.customers, k, c, t)
+
+        now, state = None, None
         for batch in batches:
-            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3)):
-                words, n, k, c, *past = unpacked(data.as_py())
-                t, root = past[-2].astype(np.int64), past[-1].astype(np.int64)
-                of, n_, c_ = np.repeat(np.arange(len(words)), n), n.astype(np.int64), c.astype(np.int64)
-                rng = np.random.default_rng([SEED, round_, bucket])
-                parent = weights.root(np.bincount(of, t, len(words)), root)
-                new = (weights.new()[k] - weights.discount * t) * parent[of]
-                t = seat(c_, new, weights.discount, rng)
-                guests = np.bincount(of, t, len(words)).astype(np.int64)
-                base = (CONCENTRATION + weights.root_discount * (weights.root_tables - root)) * weights.base
-                root = seat(guests, base, weights.root_discount, rng)
-                total += _totals({"context": np.bincount(k, t, CONTEXTS), "customers": guests.sum(), "tables": root.sum()})
-                kept = past if round_ > BURN_IN else []
-                yield _row(2, bucket, -1, packed(words, n, k, c, *kept, t.astype(np.uint32), root.astype(np.uint32)))
+            for kind, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+                if kind == 2:
+                    if state:
+                        yield from done(now, state)
+                    now, state = bucket, State(data.as_py())
+                else:
+                    state.answers.append(unpacked(data.as_py()))
+        if state:
+            yield from done(now, state)
         yield _row(3, -1, -1, packed(total))
 
     return sweep
 
 
-def _answer(samples: list[Weights]):
-    """A bucket's state (block -1), then its messages, to replies (kind 4): each word's training count, each pair's log10 probability."""
+def _answer(counts: np.ndarray, samples: list[np.ndarray]):
+    """A bucket's state and answers, then its messages, to replies (kind 4): each word's training count, each pair's log10 probability."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
+        bucket_state, ready = None, False
         for batch in batches:
-            for bucket, block, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if bucket != now:
-                    now, state = bucket, None
+            for kind, bucket, block, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if kind == 2:
+                    bucket_state, ready = State(data.as_py()), False
+                    continue
                 arrays = unpacked(data.as_py())
-                if block < 0:
-                    words, n, k, c, *past = arrays
-                    of = np.repeat(np.arange(len(words)), n)
-                    roots = [np.r_[w.root(np.bincount(of, past[2 * s], len(words)), past[2 * s + 1].astype(float)), w.root(0, 0)] for s, w in enumerate(samples)]
-                    state = words, of * CONTEXTS + k, c.astype(float), past, np.r_[np.bincount(of, c, len(words)), 0].astype(np.uint64), roots
+                if kind == 6:
+                    bucket_state.answers.append(arrays)
                     continue
-                asked, n, k, _ = arrays
-                words, keys, c, past, known, roots = state
+                if not ready:
+                    s, ready = bucket_state, True
+                    s.join()
+                    words, of, last = s.words, np.repeat(np.arange(len(s.words)), s.n), np.iinfo(np.int64).max
+                    keys, c = np.r_[of * len(s.contexts) + s.k, last], np.r_[s.c.astype(float), 0]
+                    known = np.r_[np.bincount(of, s.c, len(words)), 0].astype(np.uint64)
+                    each = []
+                    for i, x in enumerate(samples):
+                        t, root, tables = s.past[3 * i : 3 * i + 3]
+                        w = s.weights(counts, x, tables)
+                        each.append((w, w.new(), np.r_[t, 0], np.r_[w.root(np.bincount(of, t, len(words)), root.astype(float)), w.root(0, 0)]))
+                asked, n, contexts, k, _ = arrays
                 at = np.searchsorted(words, asked)
-                at[(at == len(words)) | (words[np.minimum(at, len(words) - 1)] != asked)] = len(words)
-                of = np.repeat(at, n)
-                key = of * CONTEXTS + k
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                at[(at == len(words)) | (np.r_[words, END][at] != asked)] = len(words)
+                of, k = np.repeat(at, n), np.searchsorted(s.contexts, contexts)[k]
+                key = of * len(s.contexts) + k
+                place = np.searchsorted(keys, key)
                 here = keys[place] == key
                 total = np.zeros(len(key))
-                for s, w in enumerate(samples):
-                    own = np.where(here, c[place] - w.discount * past[2 * s][place], 0.0)
-                    total += (own + w.new()[k] * roots[s][of]) / (CONCENTRATION + w.customers[k])
+                for w, new, t, roots in each:
+                    own = np.where(here, c[place] - w.discount * t[place], 0.0)
+                    total += (own + new[k] * roots[of]) / (CONCENTRATION + w.customers[k])
                 yield _row(4, bucket, block, packed(known[at], np.log10(total / len(samples)).astype(np.float32)))
 
     return answer
@@ -315,14 +413,14 @@ def _summed(totals: DataFrame) -> np.ndarray:
     """The sum of kind 3: collected by place, so its size is fixed."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS + len(REST))
+        total = np.zeros(len(REST))
         for batch in batches:
             for data in batch.column(0):
                 total += unpacked(data.as_py())[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "x"])
 
     each = totals.where("kind = 3").select("data").mapInArrow(spread, "place long, x double")
-    out = np.zeros(CONTEXTS + len(REST))
+    out = np.zeros(len(REST))
     for place, x in each.groupBy("place").agg(F.sum("x")).collect():
         out[place] = x
     return out
@@ -353,19 +451,21 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> D
     buckets = max(8, -(-size // BUCKET_BYTES))
     table = _kinds(docs.select("doc_id", (fold() == 0).alias("held_out"), "text").mapInArrow(_encode(buckets), MESSAGE), "messages")
     messages, blocks = table.where("kind = 0"), table.where("kind = 1")
-    state = _kinds(messages.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_collect, MESSAGE), "state")
+    by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    # a state, and then what the buckets of contexts answer it
+    told = lambda df: df.where("kind = 2").unionByName(by_bucket(df.where("kind = 5")).mapInArrow(_tell, MESSAGE))
+    state = _kinds(by_bucket(messages).mapInArrow(_collect(buckets), MESSAGE), "state")
     counts = tables = _summed(state)
-    past: list[Weights] = []
+    past: list[np.ndarray] = []
     for round_ in range(burn_in + samples):
-        after = _kinds(state.where("kind = 2").mapInArrow(_sweep(Weights(counts, tables), round_ if round_ > burn_in else 0), MESSAGE), "state")
+        after = _kinds(by_bucket(told(state)).mapInArrow(_sweep(buckets, counts, tables, round_ if round_ > burn_in else 0), MESSAGE), "state")
         dropped(state)
         state, tables = after, _summed(after)
         if round_ >= burn_in:
-            past.append(Weights(counts, tables))
-    both = messages.unionByName(state.where("kind = 2"))
-    replies = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer(past), MESSAGE)
+            past.append(tables)
+    replies = by_bucket(messages.unionByName(told(state))).mapInArrow(_answer(counts, past), MESSAGE)
     dealt = blocks.unionByName(replies).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
     scores = dealt.mapInArrow(_score, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base double, score double")
-    w = past[-1]
+    w = Weights(counts, tables)
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(w.tokens + 0.1 * (w.words + 1))))
     return scores.select("doc_id", (fold() == 0).alias("held_out"), "n_tokens", "n_known", F.lit(w.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -246,6 +246,26 @@ def test_op7_is_a_distribution():
     assert math.isclose(parent.sum(), 1) and math.isclose(p.sum(), 1)
 
 
+def test_op7_contexts_are_words(spark):
+    # two words that 4,095 hash classes of contexts can't tell apart
+    seen, pair = {}, None
+    for i in range(4000):
+        key = (xxhash.xxh64_intdigest(f"x{i}".encode(), pitmanyor.SEED) >> 40) % 4095
+        if key in seen:
+            pair = seen[key], f"x{i}"
+            break
+        seen[key] = f"x{i}"
+    rows = [(i, f"{pair[i % 2]} {'pq'[i % 2]}") for i in range(400)]
+    got = {r["doc_id"]: r["score"] for r in pitmanyor.scored(spark.createDataFrame([*rows, (1000, f"{pair[0]} q"), (1001, f"{pair[0]} never")], "doc_id long, text string")).collect()}
+    assert got[0] > -0.4 and got[1] > -0.4 and got[1000] < -1.5 and got[1001] < got[1000]
+
+
+def test_op7_without_training(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = pitmanyor.scored(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and all(r["n_known"] == 0 and math.isclose(r["score"], 0, abs_tol=1e-6) for r in got)
+
+
 def test_op7_seating():
     c = np.array([1, 2, 50, 5000, 1])
     t = pitmanyor.seat(c, np.full(5, 0.5), 0.5, np.random.default_rng(1))
