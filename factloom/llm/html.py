@@ -4,14 +4,14 @@ A tree builder reads a page tag by tag: end tags that HTML lets a writer leave o
 have no content, and raw-text elements end at their own end tag only. A renderer then walks the tree:
 elements that are never shown, or are hidden by their attributes, are skipped; blocks stand on lines of
 their own, with a blank line where a browser leaves space; list items have marks and are indented;
-preformatted text keeps its white space; and the cells of a table are padded to aligned columns.
+preformatted text keeps its white space; and the cells of a table are padded to aligned columns. What stands
+in a table but in no cell comes before the table, as in browsers, which find cells inside forms and the like.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg annotation annotation-xml mphantom datalist area base link meta param source track".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
 )
@@ -51,7 +51,7 @@ _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|$))|<[!?][^>]*(?:>|$)|<(/?)([A-
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_MARKED = re.compile(r"hidden|style|type|start|value|alt", re.I)
+_MARKED = re.compile(r"hidden|style|type|start|value|alt|display", re.I)
 
 
 class Node:
@@ -204,6 +204,8 @@ def _render(page: _Page, root: Node) -> None:
             part()
         elif not hidden(part):
             todo.append(iter(_shown(page, part)))
+        elif part.name == "table":  # what it has outside its cells isn't hidden with it
+            todo.append(iter(_parted(part)[0]))
 
 
 def _shown(page: _Page, node: Node) -> list:
@@ -220,11 +222,16 @@ def _shown(page: _Page, node: Node) -> list:
     if name == "pre":
         return [page.space, lambda: page.raw(_plain(node).removeprefix("\n")), page.space]
     if name == "table":
-        return [page.space, lambda: _table(page, node), page.space]
+        loose, rows = _parted(node)
+        return [*loose, page.space, lambda: _table(page, rows), page.space]
     if name in ("ul", "ol", "menu", "dir"):
         return _list(page, node)
-    if name in ("td", "th"):
+    if name in ("td", "th", "mtd"):
         return [" ", *node.parts, " "]
+    if name == "mfrac":
+        return [x for part in node.parts for x in (" ", part)] + [" "]
+    if name == "math" and node.attrs.get("display", "").lower() == "block":
+        return [page.end, *node.parts, page.end]
     if name in ("blockquote", "dd"):
         before = page.indent
 
@@ -284,23 +291,69 @@ def _plain(node: Node) -> str:
     return "".join(out)
 
 
-def _rows(table: Node) -> Iterator[tuple[str, list]]:
-    for part in table.parts:
-        if not isinstance(part, Node) or hidden(part):
-            continue
-        if part.name == "tr":
-            yield "row", [c for c in part.parts if isinstance(c, Node) and c.name in ("td", "th") and not hidden(c)]
-        elif part.name in ("thead", "tbody", "tfoot"):
-            yield from _rows(part)
+TABLE_PARTS = frozenset("thead tbody tfoot tr td th caption".split())
+
+
+def _wrappers(table: Node) -> set[int]:
+    """The ids of the nodes between a table and parts of it."""
+    found: set[int] = set()
+    todo = [(iter(table.parts), table)]
+    while todo:
+        part = next(todo[-1][0], None)
+        if part is None:
+            todo.pop()
+        elif isinstance(part, Node) and part.name != "table":
+            if part.name in TABLE_PARTS:
+                for _, node in reversed(todo):
+                    if id(node) in found:
+                        break
+                    found.add(id(node))
+            if part.name not in ("td", "th", "caption") and part.name not in UNSEEN:
+                todo.append((iter(part.parts), part))
+    return found
+
+
+def _parted(table: Node) -> tuple[list, list[tuple[str, list]]]:
+    """What stands in a table outside its cells, and its rows: (row or caption, cells)."""
+    loose: list = []
+    rows: list[tuple[str, list]] = []
+    wrappers, row = _wrappers(table), None
+    # iterator, node, whether its cells are hidden, whether its other content is
+    todo = [(iter(table.parts), table, False, False)]
+    while todo:
+        parts, node, dark, veiled = todo[-1]
+        part = next(parts, None)
+        if part is None:
+            todo.pop()
+            if node.name in TABLE_PARTS:
+                row = None
+        elif isinstance(part, str) or part.name not in TABLE_PARTS and id(part) not in wrappers:
+            if not veiled and not (isinstance(part, str) and not part.strip(" \t\n\r\f")):
+                if node.name in BLOCK and node is not table:
+                    around = Node("div", {})
+                    around.parts = [part]
+                    part = around
+                loose.append(part)
+        elif part.name in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(("row", row))
+            if not dark and not hidden(part):
+                row.append(part)
         elif part.name == "caption":
-            yield "caption", [part]
-        elif part.name not in ("colgroup", "col"):
-            yield "other", [part]
+            if not dark and not hidden(part):
+                rows.append(("caption", [part]))
+        elif part.name in TABLE_PARTS:
+            row = None
+            todo.append((iter(part.parts), part, dark or hidden(part), veiled))
+        else:  # a form or the like, of which only what isn't part of the table can be hidden
+            todo.append((iter(part.parts), part, dark, veiled or part.name != "form" and hidden(part)))
+    return loose, rows
 
 
-def _table(page: _Page, node: Node) -> None:
+def _table(page: _Page, rows: list[tuple[str, list]]) -> None:
     """Rows on lines, cells padded to columns; a cell of several lines, and one with a table in it, is joined to one."""
-    rows, grid = list(_rows(node)), []
+    grid = []
     for kind, cells in rows:
         grid.append([_BLANK.sub(" ", render(_copy(c))) for c in cells])
     widths: list[int] = []

@@ -159,6 +159,24 @@ def test_op3(spark):
     assert sorted((r["page_id"], r["n_words"]) for r in html.extracted(df).collect()) == [(1, 20), (1, 20), (2, 0)]
 
 
+def test_op3_text_outside_cells():
+    assert html.text_of("<table><tr><form><td>a</td><td>b</td></form></tr></table>") == "a  b"
+    assert html.text_of("<table><form><tr><td>a</td></tr></form><tr><td>b</td></tr></table>") == "a\nb"
+    assert html.text_of("x<table>text<tr><td>a</td></tr></table>") == "xtext\n\na"
+    assert html.text_of("<table><tr>text<td>a</td><td>b</td></tr></table>") == "text\n\na  b"
+    assert html.text_of("<table><tbody><tr><div>text</div></tr><tr hidden>loose<td>no</td></tr></table>") == "text\nloose"
+    assert html.text_of("<table><tr><div style='display:none'>no<td>a</td></div></tr></table>") == "a"
+    assert html.text_of("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert html.text_of("<table style='display:none'>text<tr><td>no</table>") == "text"
+    assert html.text_of("<table><tr><td>a<table>in<tr><td>b</table></table>") == "ain b"
+    assert html.text_of("<table><tr>" + "<form>" * 20000 + "<td>deep") == "deep"
+
+
+def test_op3_math():
+    assert html.text_of("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>.") == "so x=1."
+    assert html.text_of("a<math display=block><mfrac><mn>1</mn><mn>2</mn></mfrac></math>b") == "a\n1 2\nb"
+
+
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
