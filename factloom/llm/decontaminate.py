@@ -4,7 +4,8 @@ The index holds a posting (document row, term, position) for each occurrence of
 that some benchmark item has; no other term can matter to a phrase. For each window of an item its two rarest
 terms in the corpus are its anchors. Where the postings of both, less their offsets in the item, meet, an
 item may lie in a document; there the postings of the other terms, less their offsets, are intersected.
-Runs of WINDOW or more consecutive offsets found are exact phrase matches.
+Runs of WINDOW or more consecutive offsets found are exact phrase matches. Where a share is asked for, items of
+which so many chunks of CHUNK words have all their words close together, in one place, are proximity matches.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .shared import row_id, written
 
 WINDOW = 10
+#: Words to a chunk; how far its words may be from its rarest; the fewest chunks to a proximity match; a share for words changed every eighth or more rarely.
+CHUNK, REACH, FEWEST, NEAR = 5, 5, 3, 1 / 3
 #: What stands between words; A-Z are lower-cased word by word.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows that are broadcast at most; larger tables are joined by a shuffle.
@@ -106,16 +109,30 @@ def proximity(postings: DataFrame, queries: DataFrame, within: int) -> DataFrame
     seeds = own.join(rarest, "term").select("rid", "qid", "k", F.col("pos").alias("start"))
     # positions in blocks of the reach, so that terms meet by equality
     blocks = seeds.withColumn("block", F.explode(F.expr(f"sequence((start - {within}) div {within + 1} - 1, (start + {within}) div {within + 1})")))
-    others = own.join(ranked, "term").select("rid", "qid", "term", "pos").withColumn("block", F.expr(f"pos div {within + 1}"))
-    near = blocks.join(others, ["rid", "qid", "block"]).where(F.abs(F.col("pos") - F.col("start")) <= within)
+    wanted = blocks.join(ranked.select("qid", "term"), "qid")
+    near = wanted.join(own.withColumn("block", F.expr(f"pos div {within + 1}")), ["rid", "term", "block"]).where(F.abs(F.col("pos") - F.col("start")) <= within)
     return near.groupBy("rid", "qid", "start", "k").agg(F.count_distinct("term").alias("met")).where("met = k").select("rid", "qid", "start")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def near_items(postings: DataFrame, item_words: DataFrame, share: float) -> DataFrame:
+    """(rid, iid): the items of which share of the chunks, FEWEST at least, are met within twice the item's length.
+
+    item_words: iid, n, off, term. Items of fewer than FEWEST chunks have none.
+    """
+    chunks = item_words.withColumn("chunk", F.expr(f"off div {CHUNK}")).where(f"(chunk + 1) * {CHUNK} <= n and n >= {FEWEST * CHUNK}")
+    met = proximity(postings, chunks.select(F.struct("iid", "chunk").alias("qid"), "term"), REACH).select("rid", "qid.*", "start")
+    # a place of the item's length is within one of the overlapping blocks of twice that
+    placed = met.join(item_words.select("iid", "n").distinct(), "iid").withColumn("block", F.explode(F.expr("array(start div n, start div n - 1)")))
+    many = placed.groupBy("rid", "iid", "n", "block").agg(F.count_distinct("chunk").alias("met"))
+    return many.where(F.col("met") >= F.greatest(F.lit(FEWEST), F.expr(f"n div {CHUNK}") * F.lit(share))).select("rid", "iid").distinct()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: float | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs(doc_id, text), against items(item_id, text).
 
     Null and empty texts have no words; items without words never occur; an item_id of several rows counts once,
     a null item_id hits without being counted; repeated documents each get a row; other columns don't matter.
+    These are exact phrases only; with near, the share of near_items(), the column near_contaminated tells proximity matches.
     """
     words = written(item_terms(items), "items")
     terms = numbered(words)
@@ -129,12 +146,16 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     out = own.join(hits, "rid", "left").join(which, "rid", "left")
     found = F.coalesce("which", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    more = []
+    if near is not None:
+        close = near_items(postings, item_words, near).select("rid").distinct().withColumn("close", F.lit(True))
+        out, more = out.join(close, "rid", "left"), [F.coalesce("close", F.lit(False)).alias("near_contaminated")]
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *more)
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that any item's window occurs in; columns as they came."""
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: float | None = None) -> DataFrame:
+    """docs without the rows that any item's window occurs in, nor, with near, any proximity match; columns as they came."""
     rid = "__fl_rid"
     marked = written(docs.withColumn(rid, row_id()), "marked")
-    bad = contaminated(marked.select(F.col(rid).alias("doc_id"), "text"), items, window).where("contaminated").select(F.col("doc_id").alias(rid))
+    bad = contaminated(marked.select(F.col(rid).alias("doc_id"), "text"), items, window, near).where("contaminated" if near is None else "contaminated or near_contaminated").select(F.col("doc_id").alias(rid))
     return marked.join(small(written(bad, "bad")), rid, "left_anti").select(*docs.columns)

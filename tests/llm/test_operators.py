@@ -217,6 +217,17 @@ def test_op4_proximity(spark):
     assert [h["doc_id"] for h in hits] == [1]
 
 
+def test_op4_changed_words(spark):
+    item = [f"w{i}" for i in range(40)]
+    changed = ["z" if i % 9 == 8 else w for i, w in enumerate(item)]
+    spread = [x for w in item for x in (w, *["y"] * 9)]
+    texts = {1: " ".join(["a"] * 33 + changed + ["b"] * 7), 2: " ".join(item[:4] + ["z"] * 40), 3: " ".join(spread), 4: " ".join(item), 5: None}
+    df, items = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["near_contaminated"]) for r in decontaminate.contaminated(df, items, near=decontaminate.NEAR).collect()}
+    assert got == {1: (False, True), 2: (False, False), 3: (False, False), 4: (True, True), 5: (False, False)}
+    assert {r["doc_id"] for r in decontaminate.clean(df, items, near=decontaminate.NEAR).collect()} == {2, 3, 5}
+
+
 def test_op5(docs, none):
     coder = tokens.encoding(tokens.VOCABULARY)
     lengths = [len(coder.encode_ordinary(r[1] or "")) for r in corpus()]
