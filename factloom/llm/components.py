@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import Tables
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,19 +25,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return near.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """(node, label) for each node of links(u, v): label is the least node that it can reach.
 
     A link from a node to itself and repeated links are harmless; an empty table gives an empty one.
-    Each round is written to the shared folder, so lineage stays short and lost executors cost a stage.
+    Each round is written to the call's tables, so lineage stays short and lost executors cost a stage.
     """
-    edges = written(_small(links.select("u", "v")), "links")
+    edges = tables.written(_small(links.select("u", "v")), "links")
     before = _mark(edges)
     while True:
-        stars = written(_large(edges), "links")
-        after = written(_small(stars), "links")
-        dropped(edges)
-        dropped(stars)
+        stars = tables.written(_large(edges), "links")
+        after = tables.written(_small(stars), "links")
+        tables.dropped(edges, stars)
         edges, now = after, _mark(after)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

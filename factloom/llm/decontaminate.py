@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import row_id, written
+from .shared import OWN, Tables, row_id, with_row_id, without
 
 WINDOW = 10
 #: Words to a chunk; how far its words may be from its rarest; the fewest chunks to a proximity match; a share for words changed every eighth or more rarely.
@@ -41,8 +41,8 @@ def item_terms(items: DataFrame) -> DataFrame:
     return rows.select("iid", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("off", "word")).withColumn("word", lower_az(F.col("word")))
 
 
-def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (rid, term, pos, doc_id, n_words) of terms(word, term) in docs(doc_id, text), written to the shared folder.
+def index(docs: DataFrame, terms: DataFrame, tables: Tables) -> DataFrame:
+    """Postings (rid, term, pos, doc_id, n_words) of terms(word, term) in docs(doc_id, text), written to the call's tables.
 
     Each document also has one posting of term 0, which carries doc_id and the number of words. Positions
     count from 0 or 1 in a document, whichever: only their differences matter.
@@ -54,41 +54,41 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     every = rows.select("rid", "doc_id", (F.size("w") - ends).cast("long").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit(" ")))).alias("pos", "word"))
     own = F.col("term") == 0
     found = every.withColumn("word", lower_az(F.col("word"))).join(small(terms), "word")
-    return written(found.select("rid", "term", "pos", F.when(own, F.col("doc_id")).alias("doc_id"), F.when(own, F.col("n_words")).alias("n_words")), "postings")
+    return tables.written(found.select("rid", "term", "pos", F.when(own, F.col("doc_id")).alias("doc_id"), F.when(own, F.col("n_words")).alias("n_words")), "postings")
 
 
-def numbered(words: DataFrame) -> DataFrame:
+def numbered(words: DataFrame, tables: Tables) -> DataFrame:
     """(word, term) for the distinct words of words(word), with term 0 for documents' own postings."""
     distinct = words.select("word").distinct().withColumn("term", row_id() + 1)
     own = words.sparkSession.createDataFrame([(" ", 0)], "word string, term long")
-    return written(distinct.unionByName(own), "terms")
+    return tables.written(distinct.unionByName(own), "terms")
 
 
-def matches(postings: DataFrame, item_words: DataFrame, window: int = WINDOW) -> DataFrame:
+def matches(postings: DataFrame, item_words: DataFrame, tables: Tables, window: int = WINDOW) -> DataFrame:
     """(rid, iid, start, end): the maximal runs of document positions that match an item over window words, or over all of a shorter item.
 
     item_words: iid, n, off, term.
     """
     often = postings.where("term > 0").groupBy("term").agg(F.count("*").alias("df"))
-    ranked = written(item_words.join(often, "term", "left"), "ranked")
+    ranked = tables.written(item_words.join(often, "term", "left"), "ranked")
     ahead = Window.partitionBy("iid").orderBy("off").rowsBetween(0, window - 1)
     width = F.least(F.col("n"), F.lit(window))
     rare = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term")).over(ahead))
     windows = ranked.withColumn("rare", rare).where((F.col("off") <= F.col("n") - width) & (F.get("rare", F.lit(0))["df"] > 0))
     both = [F.get("rare", F.lit(k))[c].alias(n) for k, c, n in ((0, "off", "at"), (0, "term", "term"), (1, "off", "at2"), (1, "term", "term2"))]
     anchors = windows.groupBy("iid", *both).agg(F.min("off").alias("lo"), F.max(F.col("off") + width - 1).alias("hi"))
-    anchors = written(anchors, "anchors")
+    anchors = tables.written(anchors, "anchors")
     # where both anchors' postings, less their offsets, meet (a window of one word has one); then what the items would have around them
     own = postings.where("term > 0").select("rid", "term", "pos")
     seeds = own.join(small(anchors), "term").withColumn("shift", F.col("pos") - F.col("at"))
-    second = own.join(small(written(anchors.select(F.col("term2").alias("term")).distinct(), "seconds")), "term", "left_semi")
+    second = own.join(small(tables.written(anchors.select(F.col("term2").alias("term")).distinct(), "seconds")), "term", "left_semi")
     second = second.select("rid", F.col("term").alias("term2"), F.col("pos").alias("pos2"))
     met = seeds.where("term2 is not null").withColumn("pos2", F.col("shift") + F.col("at2")).join(second, ["rid", "term2", "pos2"], "left_semi")
     place = ["rid", "iid", "shift", "lo", "hi"]
     seeds = met.select(*place).unionByName(seeds.where("term2 is null").select(*place)).distinct()
     wanted = seeds.select("rid", "iid", "shift", F.explode(F.sequence("lo", "hi")).alias("off")).distinct()
-    wanted = written(wanted.join(small(ranked.select("iid", "off", "term", "n")), ["iid", "off"]).withColumn("pos", F.col("shift") + F.col("off")), "wanted")
-    near = written(wanted.select("rid").distinct(), "near")
+    wanted = tables.written(wanted.join(small(ranked.select("iid", "off", "term", "n")), ["iid", "off"]).withColumn("pos", F.col("shift") + F.col("off")), "wanted")
+    near = tables.written(wanted.select("rid").distinct(), "near")
     there = postings.where("term > 0").select("rid", "term", "pos").join(small(near), "rid", "left_semi")
     found = wanted.join(there, ["rid", "pos", "term"], "left_semi")
     run = F.col("off") - F.row_number().over(Window.partitionBy("rid", "iid", "shift").orderBy("off"))
@@ -127,18 +127,13 @@ def near_items(postings: DataFrame, item_words: DataFrame, share: float) -> Data
     return many.where(F.col("met") >= F.greatest(F.lit(FEWEST), F.expr(f"n div {CHUNK}") * F.lit(share))).select("rid", "iid").distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: float | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs(doc_id, text), against items(item_id, text).
-
-    Null and empty texts have no words; items without words never occur; an item_id of several rows counts once,
-    a null item_id hits without being counted; repeated documents each get a row; other columns don't matter.
-    These are exact phrases only; with near, the share of near_items(), the column near_contaminated tells proximity matches.
-    """
-    words = written(item_terms(items), "items")
-    terms = numbered(words)
-    postings = index(docs, terms)
+def _results(docs: DataFrame, items: DataFrame, window: int, near: float | None, tables: Tables) -> DataFrame:
+    """What contaminated() returns, not yet written."""
+    words = tables.written(item_terms(items), "items")
+    terms = numbered(words, tables)
+    postings = index(docs, terms, tables)
     item_words = words.join(terms, "word").select("iid", "n", "off", "term")
-    spans = written(matches(postings, item_words, window), "spans")
+    spans = tables.written(matches(postings, item_words, tables, window), "spans")
     hits = spans.select("rid", F.explode(F.sequence("start", "end")).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     names = words.select("iid", F.col("item_id").cast("string").alias("item")).distinct()
     which = spans.select("rid", "iid").distinct().join(names, "iid").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("which"))
@@ -153,9 +148,28 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *more)
 
 
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: float | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs(doc_id, text), against items(item_id, text).
+
+    Null and empty texts have no words; items without words never occur; an item_id of several rows counts once,
+    a null item_id hits without being counted; repeated documents each get a row; empty tables of either kind hit
+    nothing; other columns don't matter, whatever their names. These are exact phrases only; with near, the share
+    of near_items(), the column near_contaminated tells proximity matches. One row a document is kept in the shared
+    folder until released(); the postings are deleted.
+    """
+    with Tables(docs.sparkSession) as tables:
+        return tables.result(tables.keep(_results(docs.select("doc_id", "text"), items, window, near, tables), "contaminated"))
+
+
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: float | None = None) -> DataFrame:
-    """docs without the rows that any item's window occurs in, nor, with near, any proximity match; columns as they came."""
-    rid = "__fl_rid"
-    marked = written(docs.withColumn(rid, row_id()), "marked")
-    bad = contaminated(marked.select(F.col(rid).alias("doc_id"), "text"), items, window, near).where("contaminated" if near is None else "contaminated or near_contaminated").select(F.col("doc_id").alias(rid))
-    return marked.join(small(written(bad, "bad")), rid, "left_anti").select(*docs.columns)
+    """docs without the rows that any item's window occurs in, nor, with near, any proximity match; columns as they came.
+
+    Null and empty texts stay; of repeated rows all stay or none; empty tables of either kind change nothing;
+    columns of any name pass.
+    """
+    rid = f"{OWN}rid"
+    with Tables(docs.sparkSession) as tables:
+        marked = with_row_id(docs, tables)
+        bad = _results(marked.select(F.col(rid).alias("doc_id"), "text"), items, window, near, tables)
+        bad = bad.where("contaminated" if near is None else "contaminated or near_contaminated").select(F.col("doc_id").alias(rid))
+        return tables.result(without(marked, rid, tables.keep(bad, "bad")).select(*docs.columns))

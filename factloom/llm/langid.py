@@ -12,7 +12,6 @@ byte holds the cost in every language, so a text is scored by two look-ups a byt
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import OWN
+
 #: Bytes of context; rows that a model is trained on at most (a sample by hash of the id, for each language).
 ORDER, ROWS = 3, 400
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: What accepted() lets a text cost: the median bits a byte of its language's held-out texts and so many of their deviations (1.4826 times
+#: the median one), and so many bits besides, which a short text may need to be told at all.
+DEVIATIONS, SPARE_BITS = 8.0, 64.0
 CHUNK = 1 << 18
 
 
@@ -51,11 +54,16 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language, and its posterior under equal priors (0 for UNKNOWN)."""
-        if not text or not self.langs or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        bits = self.lengths(text.encode("utf-8", "surrogatepass"))
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float, int]:
+        """predict(), with the text's bits in that language and its bytes."""
+        if not text or not self.langs or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, 0.0, 0
+        data = text.encode("utf-8", "surrogatepass")
+        bits = self.lengths(data)
         best = int(bits.argmin())
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
+        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()), float(bits[best]), len(data)
 
 
 def _grams(texts: list[bytes]) -> np.ndarray:
@@ -131,24 +139,33 @@ def train(labelled: DataFrame, rows: int = ROWS) -> Model:
 
     Rows without text or language are left out. rows bounds what the trees hold; everything is scored whole.
     """
+    picked = sample(labelled, rows)
+    if picked is None:
+        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
+    table = counts(picked).toPandas()
+    return build(table["lang"].to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy())
+
+
+def sample(labelled: DataFrame, rows: int) -> DataFrame | None:
+    """Of each language about rows rows by hash of the id, of those with text and language; None where there are none."""
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
+        return None
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))]), F.col("lang"))
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
-    table = counts(picked).toPandas()
-    return build(table["lang"].to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy())
+    return usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
 
 
 def predictor(model: Model, spark) -> Column:
-    """A function of a text column: struct (lang_pred, score)."""
+    """A function of a text column: struct (lang_pred, score, bits, bytes)."""
     held = spark.sparkContext.broadcast(model)  # of a size that the training sample bounds
 
-    @F.arrow_udf("lang_pred string, score double")
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "bits": pa.float64(), "bytes": pa.int64()}
+
+    @F.arrow_udf("lang_pred string, score double, bits double, bytes long")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [held.value.predict(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang_pred", "score"])
+        found = [held.value.judge(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     return predict
 
@@ -161,16 +178,39 @@ def fold() -> Column:
 def identified(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs(doc_id, text, lang).
 
-    Null texts, and texts without a letter, are UNKNOWN with score 0, as is everything when no row is labelled.
-    Repeated rows get equal answers; other columns don't matter.
+    Null and empty texts, and texts without a letter, are UNKNOWN with score 0, as is everything when no row is
+    labelled. Of languages that tie the first by name is taken; repeated rows get equal answers; an empty table
+    gives none; other columns don't matter.
     """
     model = train(docs.where(fold() != 2), rows)
     out = docs.select("doc_id", (fold() == 2).alias("held_out"), predictor(model, docs.sparkSession)("text").alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def accepted(docs: DataFrame, least: float = 0.5, rows: int = ROWS) -> DataFrame:
-    """docs without the rows whose language is UNKNOWN or scored below least; columns as they came."""
-    model = train(docs.where(fold() != 2), rows)
+def limits(model: Model, labelled: DataFrame, rows: int = ROWS) -> dict[str, float]:
+    """The most bits a byte that a text of each language may cost, by what a sample of labelled texts that model hasn't seen costs."""
+    picked = sample(labelled, rows)
+    if picked is None or not model.langs:
+        return {}
+    costs: dict[str, list[float]] = {}
+    p = predictor(model, labelled.sparkSession)("text").alias("p")
+    for lang, cost in picked.select("lang", p).where("p.lang_pred = lang and p.bytes > 0").selectExpr("lang", "p.bits / p.bytes").collect():  # the sample's size bounds it
+        costs.setdefault(lang, []).append(cost)
+    middle = {lang: float(np.median(x)) for lang, x in costs.items()}
+    return {lang: m + DEVIATIONS * 1.4826 * float(np.median(np.abs(np.array(costs[lang]) - m))) for lang, m in middle.items()}
+
+
+def accepted(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """docs without the rows that are UNKNOWN or that no learned language explains; columns as they came.
+
+    A text is explained if its code length in the predicted language is within limits(). The trees learn from one
+    part of the labelled rows and limits from another; a language without rows in the latter has no limit.
+    Null and letterless texts go; repeated rows stay or go together; without any labelled row all go; an empty
+    table stays empty; columns of any name pass.
+    """
+    model = train(docs.where(fold().isin(0, 1)), rows)
+    most = limits(model, docs.where(fold() == 3), rows)
     p = predictor(model, docs.sparkSession)("text")
-    return docs.withColumn("__fl_p", p).where(f"__fl_p.lang_pred <> '{UNKNOWN}' and __fl_p.score >= {least}").drop("__fl_p")
+    limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in most.items() for x in (lang, n)]), F.col(f"{OWN}p.lang_pred")) if most else F.lit(None)
+    fits = limit.isNull() | (F.col(f"{OWN}p.bits") <= limit * F.col(f"{OWN}p.bytes") + SPARE_BITS)
+    return docs.withColumn(f"{OWN}p", p).where((F.col(f"{OWN}p.lang_pred") != UNKNOWN) & fits).select(*docs.columns)

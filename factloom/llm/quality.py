@@ -16,11 +16,13 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
-#: Words of a repeat that counts, and what a kept text may have: the share of its words that repeats cover, and the words of the longest.
-LEAST, MOST_COVERED, LONGEST = 10, 0.5, 400
+#: Words of a repeat that counts, and what a kept text may have: the share of its words that repeats cover (well below the base
+#: rules' share of repeated words, so that it tells more than they do), and the words of the longest.
+LEAST, MOST_COVERED, LONGEST = 10, 0.1, 100
 #: Limits of the base rules: words at least, repeated words in a hundred at most.
 MIN_WORDS, MOST_REPEATED = 50, 50
 BATCH = 1 << 18
@@ -138,15 +140,15 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def rated(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
     """SCHEMA for each row of docs(doc_id, text), in one pass without a shuffle.
 
-    Null texts have no words and fail the base rules; repeated rows get equal answers; a null doc_id stays
-    null; other columns don't matter. Memory: about 100 bytes a word of the longest text.
+    Null and empty texts have no words and fail the base rules; repeated rows get equal answers; a null doc_id
+    stays null; an empty table gives none; other columns don't matter. Memory: about 100 bytes a word of the
+    longest text.
     """
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at, end in _parts([len(t) for t in texts]):
-                m = measures(texts[at:end], least)
+            for at, end in _parts(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                m = measures(batch.column(1).slice(at, end - at).to_pylist(), least)
                 n = m["n_words"]
                 failed = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * n)
                 kept = ~failed & (m["n_covered"] <= most_covered * n) & (m["longest"] <= longest)
@@ -158,7 +160,7 @@ def rated(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_COVERE
 
 
 def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about BATCH * 8 characters."""
+    """Runs of texts of about BATCH * 8 bytes."""
     at = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > BATCH * 8:

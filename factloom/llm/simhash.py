@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import components
-from .shared import OWN, row_id, written
+from .shared import OWN, Tables, with_row_id, without
 
 SEED = 42
 BITS = 64
@@ -36,6 +36,10 @@ GOLAY = 0b110001110101
 RADIUS = 3
 #: Shingles hashed at a time, and anchor rows compared at a time.
 CHUNK, ROWS = 1 << 16, 1 << 20
+#: Copies of an anchor that one task compares; larger anchors are dealt to several.
+HOT = 1 << 17
+#: Rows that are broadcast at most.
+SMALL = 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -146,24 +150,27 @@ def _near_pairs(anchor: np.ndarray, fp: np.ndarray, near: np.ndarray) -> Iterato
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect the fingerprints of each anchor, one fewer than those of a group at most. Rows come sorted by anchor."""
+    """Links that connect the fingerprints of each cell, one fewer than those of a group at most. Rows come sorted by cell."""
 
-    def links(anchor: np.ndarray, fp: np.ndarray, near: np.ndarray) -> pa.RecordBatch | None:
+    def links(cell: np.ndarray, fp: np.ndarray, near: np.ndarray) -> pa.RecordBatch | None:
         label = nodes = None
         wait: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
 
         def settle() -> None:
-            nonlocal label, nodes
+            nonlocal label, nodes, waiting
             if nodes is None:
                 nodes = np.unique(fp)
                 label = np.arange(len(nodes))
             u, v = (np.searchsorted(nodes, fp[np.concatenate(x)]) for x in zip(*wait))
             label = _union(label, u, v)
             wait.clear()
+            waiting = 0
 
-        for pair in _near_pairs(anchor, fp, near):
+        for pair in _near_pairs(cell, fp, near):
             wait.append(pair)
-            if sum(len(u) for u, _ in wait[-1:]) > ROWS or len(wait) > 256:
+            waiting += len(pair[0])
+            if waiting > ROWS:
                 settle()
         if wait:
             settle()
@@ -173,33 +180,54 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(nodes[tied].view(np.int64)), pa.array(nodes[label[tied]].view(np.int64))], ["u", "v"])
 
     held: list[tuple[np.ndarray, ...]] = []
+    rows, least = 0, ROWS
     for batch in batches:
         held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)))
-        if sum(len(x[0]) for x in held) >= ROWS:
+        rows += batch.num_rows
+        if rows >= least:
             cols = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last anchor may go on
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on
             if cut and (out := links(*(c[:cut] for c in cols))):
                 yield out
-            held = [tuple(c[cut:] for c in cols)]
+            held, rows = [tuple(c[cut:] for c in cols)], rows - cut
+            least = max(ROWS, 2 * rows)
     if held and (out := links(*(np.concatenate(x) for x in zip(*held)))):
         yield out
 
 
-def links(prints: DataFrame) -> DataFrame:
+def _cells(copies: DataFrame, hot: int, tables: Tables) -> DataFrame:
+    """copies(anchor, fp, near) as (cell, fp, near): a cell for each anchor, and for those of more than hot copies one for each two parts of them.
+
+    A part holds about half of hot, so any two copies of an anchor meet in a cell of about hot, and no cell grows with the input.
+    """
+    large = copies.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    large = tables.written(large.select("anchor", F.ceil(F.col("n") * 2 / hot).cast("int").alias("parts")), "hot")
+    n = large.count()
+    if not n:
+        return copies.select(F.col("anchor").cast("long").alias("cell"), "fp", "near")
+    large = F.broadcast(large) if n <= SMALL else large
+    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = copies.join(large, "anchor", "left").withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("other", other)
+    cell = F.xxhash64("anchor", F.least("mine", "other"), F.greatest("mine", "other"))
+    return each.select(F.when(F.col("parts").isNull(), F.col("anchor").cast("long")).otherwise(cell).alias("cell"), "fp", "near")
+
+
+def links(prints: DataFrame, tables: Tables, hot: int = HOT) -> DataFrame:
     """(u, v) links that connect the distinct fingerprints of prints(fp) as all pairs within THRESHOLD do."""
     copies = prints.select("fp").mapInArrow(_replicate, "anchor int, fp long, near boolean")
-    dealt = copies.repartition("anchor").sortWithinPartitions("anchor")
+    dealt = _cells(copies, hot, tables).repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_compare, "u long, v long").distinct()
 
 
-def groups(rows: DataFrame) -> DataFrame:
+def groups(rows: DataFrame, tables: Tables) -> DataFrame:
     """(fp, component_id, keep) for each fingerprint of rows(rid, doc_id, fp): the least doc_id of its component, and the one rid that stays.
 
     A component without any doc_id has a null component_id; keep is then its least rid.
     """
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    each = written(rows.groupBy("fp").agg(F.min(first).alias("low")), "prints")
-    tied = written(components(links(each)), "tied")
+    each = tables.written(rows.groupBy("fp").agg(F.min(first).alias("low")), "prints")
+    tied = tables.written(components(links(each, tables), tables), "tied")
     named = each.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("low").alias("least"))
     return named.join(least, "label").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep"))
@@ -208,17 +236,28 @@ def groups(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row of docs(doc_id, text).
 
-    Null and empty texts have fingerprint zero and link like any other; repeated rows each get a row;
-    rows with a null doc_id belong to their component but never name it. Other columns are ignored.
+    Null and empty texts have fingerprint zero and link like any other; repeated rows each get a row; of tied rows
+    the first place in the files names the rest; rows with a null doc_id belong to their component but never name
+    it; an empty table gives none. Other columns are ignored, whatever their names. One row a document is kept in
+    the shared folder until released().
     """
-    rows = written(docs.select("doc_id", row_id().alias("rid"), fingerprint_column("text").alias("fp")), "rows")
-    out = rows.join(groups(rows), "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with Tables(docs.sparkSession) as tables:
+        marked = with_row_id(docs.select("doc_id", "text"), tables, "rid")
+        rows = tables.written(marked.select("doc_id", "rid", fingerprint_column("text").alias("fp")), "rows")
+        out = rows.join(groups(rows, tables), "fp")
+        out = out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        return tables.result(tables.keep(out, "components"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of the least doc_id; columns as they came."""
-    rid, fp = f"{OWN}rid", f"{OWN}fp"
-    marked = written(docs.select("*", row_id().alias(rid), fingerprint_column("text").alias(fp)), "marked")
-    kept = groups(marked.select("doc_id", F.col(rid).alias("rid"), F.col(fp).alias("fp"))).select(F.col("keep").alias(rid)).distinct()
-    return marked.join(kept, rid, "left_semi").select(*docs.columns)
+    """docs with one row of each component, that of the least doc_id, of equal ones the first in the files; columns as they came.
+
+    Null and empty texts are near duplicates of one another, so one of them stays; rows with a null doc_id stay
+    only where their component has no other; an empty table stays empty; columns of any name pass.
+    """
+    rid = f"{OWN}rid"
+    with Tables(docs.sparkSession) as tables:
+        marked = with_row_id(docs, tables)
+        rows = tables.written(marked.select("doc_id", F.col(rid).alias("rid"), fingerprint_column("text").alias("fp")), "rows")
+        gone = rows.join(groups(rows, tables), "fp").where(F.col("rid") != F.col("keep")).select(F.col("rid").alias(rid))
+        return tables.result(without(marked, rid, tables.keep(gone, "gone")).select(*docs.columns))

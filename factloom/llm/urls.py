@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import row_id, written
+from .shared import OWN, Tables, with_row_id
 
 #: Intervals that are broadcast at most; longer lists are joined by a shuffle, in which hot hosts are split.
 SMALL = 200_000
@@ -43,16 +43,19 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(url, fetched, ...) with host, blocked, pattern and since: the longest pattern listed on the fetch date.
 
-    A capture without host or fetch date is not blocked; repeated captures each get a row; columns of those names
-    in captures are replaced.
+    A capture without host or fetch date is not blocked; null, empty and malformed URLs have no host; repeated
+    captures each get a row; empty captures give none, an empty list blocks nothing; columns of the new names in
+    captures are replaced, others pass.
     """
-    rid = "__fl_rid"
-    base = captures.drop("host", "blocked", "pattern", "since")
-    listed = written(intervals(entries), "intervals")
-    listed = F.broadcast(listed) if listed.count() <= SMALL else listed
-    rows = written(base.select("*", host(F.col("url")).alias("host"), row_id().alias(rid)), "captures")
-    each = rows.where("host is not null and fetched is not null").select(rid, "fetched", F.explode(parents(F.col("host"))).alias("pattern"))
-    hit = each.join(listed, "pattern").where("since <= fetched and (until is null or fetched < until)")
-    best = hit.groupBy(rid).agg(F.max(F.struct(F.char_length("pattern").alias("n"), "pattern", "since")).alias("best"))
-    out = rows.join(best, rid, "left")
-    return out.select(*base.columns, "host", F.col("best").isNotNull().alias("blocked"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
+    rid = f"{OWN}rid"
+    with Tables(captures.sparkSession) as tables:
+        marked = with_row_id(captures.drop("host", "blocked", "pattern", "since"), tables, rid)
+        base = [c for c in marked.columns if c != rid]
+        listed = tables.keep(intervals(entries), "intervals")
+        listed = F.broadcast(listed) if listed.count() <= SMALL else listed
+        rows = marked.withColumn("host", host(F.col("url")))
+        each = rows.where("host is not null and fetched is not null").select(rid, "fetched", F.explode(parents(F.col("host"))).alias("pattern"))
+        hit = each.join(listed, "pattern").where("since <= fetched and (until is null or fetched < until)")
+        best = hit.groupBy(rid).agg(F.max(F.struct(F.char_length("pattern").alias("n"), "pattern", "since")).alias("best"))
+        out = rows.join(best, rid, "left")
+        return tables.result(out.select(*base, "host", F.col("best").isNotNull().alias("blocked"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since")))

@@ -32,7 +32,7 @@ def test_stages(spark):
         got = {r["doc_id"] for r in kept[name]}
         if name == "language":
             unknown = {r["doc_id"] for r in langid.identified(docs).where("lang_pred = 'und'").collect()}
-            assert got <= set(before) - unknown and len(got) > 0.8 * len(before)
+            assert got <= set(before) - unknown and len(got) > 0.95 * len(before)
         elif name == "dedup":
             prints, label = {k: simhash.fingerprint(t) for k, t in before.items()}, {k: k for k in before}
             changed = True
@@ -61,6 +61,7 @@ def test_stages(spark):
             assert all(taken[k] <= 2 * r["size"] for k, r in plan.items())
             for source in {r["source"] for r in plan.values()}:
                 mine = [r for r in plan.values() if r["source"] == source]
-                assert abs(sum(taken[r["doc_id"]] for r in mine) - mine[0]["target"]) <= 1
+                gap = mine[0]["target"] - sum(taken[r["doc_id"]] for r in mine)
+                assert -1 <= gap <= min([r["size"] for r in mine if 0 < r["size"] and taken[r["doc_id"]] < 2 * r["size"]] or [1])
         docs = out
     assert Counter(r["doc_id"] for r in pipeline.run(spark, base).collect()).keys() == Counter(r["doc_id"] for r in kept["mix"]).keys()
