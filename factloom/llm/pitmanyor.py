@@ -47,7 +47,7 @@ CONTEXTS = 1 << 16
 BURN_IN, SAMPLES, SEED = 3, 3, 42
 CONCENTRATION = 1.0
 #: Dishes that are seated one by one rather than side by side.
-FEW = 64
+FEW = 512
 #: Bytes of text to a bucket of words; tokens to a block.
 BUCKET_BYTES, BLOCK_TOKENS = 24_000_000, 1 << 20
 END = np.uint64(1)
@@ -223,13 +223,20 @@ def seat(c: np.ndarray, weight: Opening, rng: np.random.Generator) -> tuple[np.n
         new, end, taken = weight(live, t), c[live].astype(float), -discount * t
         stay = lambda to, i=slice(None): _rising(n[i], to, taken[i]) - _rising(n[i], to, taken[i] + new[i])  # noqa: B023, E731
         u = np.log(rng.random(len(live)) + 1e-300)
-        opens = np.flatnonzero(u >= stay(end))
+        at_end = stay(end)
+        opens = np.flatnonzero(u >= at_end)
         # the first customer by whom the chance of no new table has fallen below u
-        low, high = n[opens], end[opens]
+        low, high, at_low, at_high, turn = n[opens], end[opens], np.zeros(len(opens)), at_end[opens], 0
         while len(wide := np.flatnonzero(high - low > 1)):
-            middle = np.floor((low[wide] + high[wide]) / 2)
-            fallen = stay(middle, opens[wide]) <= u[opens[wide]]
-            high[wide], low[wide] = np.where(fallen, middle, high[wide]), np.where(fallen, low[wide], middle)
+            a, b, turn = low[wide], high[wide], turn + 1
+            middle = np.floor((a + b) / 2)
+            if turn % 2:  # the logarithm of the chance falls about evenly with that of the customer
+                x, y, shift = np.log(a + taken[opens[wide]]), np.log(b + taken[opens[wide]]), taken[opens[wide]]
+                middle = np.clip(np.floor(np.exp(x + (y - x) * (u[opens[wide]] - at_low[wide]) / (at_high[wide] - at_low[wide])) - shift), a + 1, b - 1)
+            at = stay(middle, opens[wide])
+            fallen = at <= u[opens[wide]]
+            high[wide], low[wide] = np.where(fallen, middle, b), np.where(fallen, a, middle)
+            at_high[wide], at_low[wide] = np.where(fallen, at, at_high[wide]), np.where(fallen, at_low[wide], at)
         dishes.append(live[opens])
         opened.append(high - 1)
         more = high < end[opens]
@@ -558,8 +565,6 @@ def _answer(counts: np.ndarray, samples: list[np.ndarray]):
                     seated = data
                 elif kind == TOLD:
                     answers.append(unpacked(data))
-                elif kind == BLOCK:
-                    yield _row(kind, -1, block, data)
                 else:
                     if made is None:
                         made = ready(known, seated, answers)
@@ -656,9 +661,9 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, buck
             settled(spark)
             state, now = after, _summed(after)
         past.append(now)
-        every = of(known, KNOWN).unionByName(of(state, SEATED)).unionByName(told(state)).unionByName(of(pairs, WANTED, BLOCK))
+        every = of(known, KNOWN).unionByName(of(state, SEATED)).unionByName(told(state)).unionByName(of(pairs, WANTED))
         replies = by_bucket(every).mapInArrow(_answer(counts, past), MESSAGE)
-        dealt = replies.repartition(buckets, "block").sortWithinPartitions("block", "bucket")
+        dealt = replies.unionByName(of(pairs, BLOCK).withColumn("bucket", F.lit(-1))).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
         scores = dealt.mapInArrow(_score, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base double, score double")
         w = Weights(counts, now)
         base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(w.tokens + 0.1 * (w.words + 1))))
