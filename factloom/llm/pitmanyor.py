@@ -49,7 +49,7 @@ CONCENTRATION = 1.0
 #: Dishes that are seated one by one rather than side by side.
 FEW = 512
 #: Bytes of text to a bucket of words; tokens to a block.
-BUCKET_BYTES, BLOCK_TOKENS = 24_000_000, 1 << 20
+BUCKET_BYTES, BLOCK_TOKENS = 24_000_000, 3 << 19
 END = np.uint64(1)
 MESSAGE = "kind int, bucket int, block long, data binary"
 #: Kinds of rows: a block's pairs for a bucket, a block's documents, a bucket's pairs, totals, replies, questions and answers about contexts, a seating, and what a block asks of a bucket.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -87,9 +88,10 @@ def released(result: DataFrame) -> None:
 
 
 def settled(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done: it does when the driver's garbage is collected."""
+    """Lets Spark delete the shuffle files of jobs that are done: it does soon after the driver's garbage is collected."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
