@@ -645,8 +645,8 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, buck
         table = lambda df, name: tables.written(df, name, "kind")
         encoded = docs.select("doc_id", (fold() == 0).alias("held_out"), "text").mapInArrow(_encode(buckets, block_tokens), MESSAGE)
         pairs = table(by_bucket(encoded).mapInArrow(_collect(buckets), MESSAGE), "pairs")
+        counts = _summed(pairs)  # a job between, so that Spark's listeners let go of the last one
         settled(spark)
-        counts = _summed(pairs)
         state = table(by_bucket(of(pairs, KNOWN).unionByName(told(pairs))).mapInArrow(_first(buckets, counts), MESSAGE), "first")
         now = _summed(state)
         tables.dropped_kinds(pairs, KNOWN, ASK)
@@ -658,8 +658,8 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, buck
                 past.append(now)
             after = table(by_bucket(of(state, SEATED).unionByName(told(state))).mapInArrow(_sweep(buckets, counts, now, sweep, keep), MESSAGE), "sweep")
             tables.dropped_kinds(state, SEATED, ASK)
-            settled(spark)
             state, now = after, _summed(after)
+            settled(spark)
         past.append(now)
         every = of(known, KNOWN).unionByName(of(state, SEATED)).unionByName(told(state)).unionByName(of(pairs, WANTED))
         replies = by_bucket(every).mapInArrow(_answer(counts, past), MESSAGE)
