@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.edn import Keyword, Tagged, order
-from factloom.functions.aggregates import aggregate
+from factloom.functions.aggregates import aggregate, ordered, ranked
 from factloom.plans import compile as plan
 from factloom.plans import parse as parsing
 from factloom.plans.parse import QueryError
 from factloom.schema import SHIFT, Attribute, Schema
-from factloom.sources.facts import LogSource, RelationalSource, View, log_text, tx_of
+from factloom.sources.facts import LogSource, RelationalSource, View, log_text, tx_of, value_key
 
 #: What a reader without the key sees of a sealed value.
 REDACTED = Tagged("redacted", None)
-ORDERS = {"eavt": ["e", "attr", "v", "tx"], "aevt": ["attr", "e", "v", "tx"], "avet": ["attr", "v", "e", "tx"], "vaet": ["v", "attr", "e", "tx"]}
+ORDERS = {"eavt": ["e", "attr", "key", "tx"], "aevt": ["attr", "e", "key", "tx"], "avet": ["attr", "key", "e", "tx"], "vaet": ["key", "attr", "e", "tx"]}
 
 
 @dataclass(frozen=True)
@@ -67,8 +68,8 @@ class Db:
     def star(self, attributes: Sequence[Attribute]) -> DataFrame | None:
         return self.source.star(attributes)
 
-    def everything(self) -> DataFrame:
-        df = self.source.everything()
+    def everything(self, typed: bool = False) -> DataFrame:
+        df = self.source.everything(typed)
         policy = {m: [i for i in self.sealed if self.schema.attributes[i].protection.missing == m] for m in ("hide", "error")}
         if hidden := sorted(self.hidden.union(policy["hide"])):
             df = df.where(~F.col("attr").isin(hidden))
@@ -106,7 +107,8 @@ class Db:
         return self._at(View())
 
     def as_of(self, t: int | dt.datetime) -> Db:
-        return self._at(View("as-of", self.t_at(t)))
+        t = self.t_at(t)
+        return self.current() if 0 < self.basis_t <= t else self._at(View("as-of", t))
 
     def since(self, t: int | dt.datetime) -> Db:
         return self._at(View("since", self.t_at(t)))
@@ -138,37 +140,56 @@ class Db:
     # Raw access
 
     def datoms(self, index: str = "eavt", *prefix: Any, limit: int | None = None) -> DataFrame:
-        """(e, attr, v, tx, added) in index order, v as EDN text; only what starts with prefix."""
+        """(e, attr, v, tx, added) in index order, v as EDN text; only what starts with prefix. Values are ordered and compared as their type is, attributes by name."""
         out = self._indexed(index)
-        for column, x in zip(ORDERS[index], prefix):
-            out = out.where(F.col(column) == self._component(column, x))
-        out = out.orderBy(*ORDERS[index], "added")
-        return out if limit is None else out.limit(limit)
+        for column, x in zip(ORDERS[index], self._components(index, prefix)):
+            out = out.where(F.col(column).eqNullSafe(x))
+        return self._ordered(out, index, limit)
 
     def seek_datoms(self, index: str, *start: Any, limit: int | None = None) -> DataFrame:
         """datoms() from the first that is not before start."""
         columns = ORDERS[index][: len(start)]
-        at = F.struct(*[self._component(c, x).alias(c) for c, x in zip(columns, start)])
-        out = self._indexed(index).where(F.struct(*columns) >= at).orderBy(*ORDERS[index], "added")
-        return out if limit is None else out.limit(limit)
+        at = F.struct(*[x.alias(c) for c, x in zip(columns, self._components(index, start))])
+        return self._ordered(self._indexed(index).where(F.struct(*columns) >= at), index, limit)
+
+    def datoms_for_attribute(self, ident: Any) -> DataFrame:
+        """(e, v, tx, added) of one attribute in order of e and v, v typed."""
+        a = self.attribute(ident)
+        out = self.facts(a) if a else self.spark.createDataFrame([], "e bigint, v string, tx bigint, added boolean")
+        return out.orderBy("e", "v", "tx", "added")
+
+    def values(self, entity: Any, ident: Any) -> DataFrame:
+        """(v) of one entity and attribute."""
+        a, e = self.attribute(ident), self.resolve(entity)
+        none = a is None or e is None
+        return self.spark.createDataFrame([], "v string") if none else self.facts(a).where((F.col("e") == e) & F.col("added")).select("v").orderBy("v")
+
+    def _ordered(self, df: DataFrame, index: str, limit: int | None) -> DataFrame:
+        df = df.orderBy(*ORDERS[index], "added")
+        return (df if limit is None else df.limit(limit)).select("e", "attr", "v", "tx", "added")
 
     def _indexed(self, index: str) -> DataFrame:
-        out = self.everything()
+        out = self.everything(typed=True)
         if index == "avet":
             return out.where(F.col("attr").isin([a.ident for a in self.schema.attributes.values() if a.indexed or a.unique]))
         if index == "vaet":
-            refs = [a.ident for a in self.schema.attributes.values() if a.type == "ref"]
-            return out.where(F.col("attr").isin(refs)).withColumn("v", F.col("v").cast("bigint"))
+            return out.where(F.col("attr").isin([a.ident for a in self.schema.attributes.values() if a.type == "ref"]))
         return out
 
-    def _component(self, column: str, x: Any) -> Column:
-        if column == "e":
-            return F.lit(self.resolve(x)).cast("bigint")
-        if column == "attr":
-            return F.lit(self.schema.get(x).ident)
-        if column == "tx":
-            return tx_of(F.lit(x).cast("bigint")) if x < 1 << SHIFT else F.lit(x).cast("bigint")
-        return plan.edn_text(*plan.literal(x))
+    def _components(self, index: str, given: Sequence[Any]) -> list[Column]:
+        out, a = [], Attribute("x/x", "ref")  # in vaet all values are references
+        for column, x in zip(ORDERS[index], given):
+            if column == "attr":
+                a = self.schema.get(x)
+                out.append(F.lit(a.ident))
+            elif column == "e":
+                out.append(F.lit(self.resolve(x)).cast("bigint"))
+            elif column == "tx":
+                out.append(tx_of(F.lit(x).cast("bigint")) if x < 1 << SHIFT else F.lit(x).cast("bigint"))
+            else:
+                value, type_ = (F.lit(self.resolve(x)), "ref") if a.type == "ref" else plan.coerced(x, a)
+                out.append(F.struct(*[c.alias(n) for n, c in value_key(value, type_).items()]))
+        return out
 
     def index_range(self, ident: Any, start: Any = None, end: Any = None) -> DataFrame:
         """(e, v, tx) of an indexed or unique attribute with start <= v < end, by value."""
@@ -183,12 +204,11 @@ class Db:
         return out.select("e", "v", "tx").orderBy("v", "e")
 
     def tx_range(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        """(t, datoms) of start <= t < end in order."""
+        """(t, seq, e, attr, v, added) of start <= t < end, a row for each datom, in order of t and seq; v as EDN text."""
         log = self.log()
         log = log if start is None else log.where(F.col("t") >= start)
         log = log if end is None else log.where(F.col("t") < end)
-        datom = F.struct("seq", "e", "attr", log_text().alias("v"), "added")
-        return log.groupBy("t").agg(F.sort_array(F.collect_list(datom)).alias("datoms")).orderBy("t")
+        return log.select("t", "seq", "e", "attr", log_text().alias("v"), "added").orderBy("t", "seq")
 
     def recorded_since(self, t: int) -> DataFrame:
         return self.log().where(F.col("t") > t)
@@ -237,6 +257,12 @@ class Result:
                 r[k] = x
         return sorted(out, key=order)
 
+    def chunks(self, size: int = 10_000) -> Iterator[list[list]]:
+        """The rows as Python values, size at a time and in no order, fetched a partition at a time. Pull isn't applied."""
+        rows = ([_python(x, t) for x, t in zip(row, self.types)] for row in self.df.toLocalIterator())
+        while part := list(islice(rows, size)):
+            yield part
+
     def value(self) -> Any:
         """A list of rows, a list of values, one row or one value, as :find says."""
         if self.shape == "rel":
@@ -324,18 +350,26 @@ def _project(query: parsing.Query, frame: plan.Frame, dbs: dict[str, Db]) -> Res
         labels.append(name if name not in labels else f"{name}_{k}")
     if any(f.kind == "agg" for f in query.find):
         keys = list(dict.fromkeys(f.var for f in query.find if f.kind != "agg"))
-        aggs = []
+        aggs, apart = [], []
         for k, f in enumerate(query.find):
             if f.kind == "agg":
-                column, type_ = aggregate(f.op, f.n, F.col(f"`{f.var}`"), frame.types[f.var])
-                aggs.append(column.alias(f"__a{k}"))
+                type_ = frame.types[f.var]
+                if ordered(f.op, f.n):
+                    part, type_ = ranked(f.op, f.n, base, keys, f.var, type_, f"__a{k}")
+                    apart.append(part)
+                else:
+                    column, type_ = aggregate(f.op, f.n, F.col(f"`{f.var}`"), type_)
+                    aggs.append(column.alias(f"__a{k}"))
                 columns.append(F.col(f"__a{k}").alias(labels[k]))
                 types.append(type_)
             else:
                 columns.append(F.col(f"`{f.var}`").alias(labels[k]))
                 types.append(frame.types[f.var])
         # no rows, no group: not even one without keys
-        df = base.groupBy(*[F.col(f"`{n}`") for n in keys]).agg(F.count(F.lit(1)).alias("__n"), *aggs).where("__n > 0").select(*columns)
+        df = base.groupBy(*[F.col(f"`{n}`") for n in keys]).agg(F.count(F.lit(1)).alias("__n"), *aggs).where("__n > 0")
+        for part in apart:
+            df = df.join(part, keys) if keys else df.crossJoin(part)
+        df = df.select(*columns)
     else:
         df = base.select(*[F.col(f"`{f.var}`").alias(labels[k]) for k, f in enumerate(query.find)])
         df = df.distinct() if query.with_ == [] and len(names) != len(query.find) else df

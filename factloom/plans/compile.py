@@ -112,11 +112,27 @@ def conjunction(ctx: Context, clauses: Sequence[Any], start: Frame, needed: set[
         narrow = narrow or isinstance(clause, Predicate) or isinstance(clause, Pattern) and any(isinstance(clause.terms[k], Const) for k in (0, 2))
         if isinstance(clause, RuleCall):
             frame = _rule(ctx, clause, frame, live, narrow).keep(live)
+        elif isinstance(clause, Or) and len(groups := _ragged(clause, set(frame.types))) > 1:
+            # branches that leave a variable unbound go on without it, each with what follows
+            parts = [conjunction(ctx, [replace(clause, branches=g), *left], frame, needed) for g in groups]
+            lost = sorted(needed - set.intersection(*(set(p.types) for p in parts)))
+            if lost:
+                raise QueryError(f"some branches leave {' '.join(lost)} unbound")
+            return united(parts, [n for n in parts[0].types if n in needed])
         else:
             frame = _apply(ctx, clause, frame, left, live).keep(live)
     return frame
 
 
+def _ragged(c: Or, bound: set[str]) -> list[list]:
+    """The branches of an or-join by which of its variables they bind."""
+    groups: dict[frozenset, list] = {}
+    for branch in c.branches:
+        binds = set().union(*map(bound_vars, branch)) & set(c.join if c.join is not None else all_vars(c))
+        groups.setdefault(frozenset(binds | bound), []).append(branch)
+    return list(groups.values())
+
+
 def _wants(c: Any) -> set[str]:
     """What a clause needs of the frame: for nested clauses all that could be shared."""
     if isinstance(c, Not) and c.join is None:
@@ -222,7 +238,9 @@ def _bind(ctx: Context, db: Any, df: DataFrame, places: list) -> Frame:
     for t, column, type_, *attribute in places:
         here = (F.col(column), type_)
         if isinstance(t, Const):
-            if column == "e" or type_ == "ref":
+            if (column == "e" or type_ == "ref") and isinstance(t.value, (list, tuple)) and len(t.value) == 2 and isinstance(t.value[0], Keyword):
+                df = _referred(db, df, column, t.value)
+            elif column == "e" or type_ == "ref":
                 value = db.resolve(t.value)
                 df = df.where(F.lit(False)) if value is None else df.where(here[0] == F.lit(value).cast("bigint"))
             elif attribute:
@@ -238,6 +256,16 @@ def _bind(ctx: Context, db: Any, df: DataFrame, places: list) -> Frame:
     return Frame(df, {n: t for n, (_, t) in at.items()})
 
 
+def _referred(db: Any, df: DataFrame, column: str, ref: Any) -> DataFrame:
+    """df where a column is the entity of a lookup reference: part of the plan, so nothing is read to compile it."""
+    a = db.attribute(ref[0])
+    if a is None:
+        return df.where(F.lit(False))
+    tag = f"__{uuid.uuid4().hex[:8]}"
+    who = db.facts(a).where(same((F.col("v"), db.type_of(a)), coerced(ref[1], a))).select(F.col("e").alias(tag))
+    return df.join(who, F.col(column) == F.col(tag), "left_semi")
+
+
 def _everything(ctx: Context, db: Any, c: Pattern) -> Frame:
     e, a, v, tx, added = c.terms
     df = db.everything()
@@ -442,6 +470,8 @@ def _union(ctx: Context, branches: list[list], names: Sequence[str], frame: Fram
         body = [renamed(x, locals_) for x in branch]
         seed = _seed(frame, bound) if (needs - binds) & set(bound) or set(bound) - binds else Frame()
         parts.append(conjunction(ctx, body, seed, set(names)))
+    if len({frozenset(set(p.types) & set(names)) for p in parts}) == 1:
+        names = [n for n in names if n in parts[0].types]
     have = [n for n in names if all(n in p.types for p in parts)]
     for p in parts:
         if set(p.types) & set(names) - set(have):
@@ -672,6 +702,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed, with its lineage cut by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{context.applicationId}"
-        context.setCheckpointDir(folder)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"/tmp/checkpoints/{context.applicationId}")
     return df.checkpoint()

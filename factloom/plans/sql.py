@@ -100,11 +100,15 @@ class SqlSession:
         if any(a.name == "e" for a in mine):
             raise QueryError(f"namespace {ns} has an attribute e")
         seen = [a for a in mine if a.ident not in self.db.hidden]
-        out = None
-        if len(seen) > 1 and self.db.can_star(seen):
+        out = star = None
+        if seen and hasattr(self.db.source, "wide"):
+            star = self.db.source.wide(seen)
+        elif len(seen) > 1 and self.db.can_star(seen):
             star = self.db.star(seen)
-            if star is not None:
-                out = star.select("e", *[self._shown(F.col(f"`{a.ident}`"), a).alias(a.name) for a in seen]).where(" or ".join(f"`{a.name}` is not null" for a in seen))
+        if star is not None:
+            cell = lambda a: F.array_sort(F.transform(f"`{a.ident}`", lambda x: self._shown(x, a))) if a.many else self._shown(F.col(f"`{a.ident}`"), a)
+            out = star.select("e", *[(F.coalesce(cell(a), F.array().cast(f"array<{self._type(a)}>")) if a.many else cell(a)).alias(a.name) for a in seen])
+            out = out.where(" or ".join(f"size(`{a.name}`) > 0" if a.many else f"`{a.name}` is not null" for a in seen))
         if out is None:
             parts = [self._facts(a).select("e", F.lit(a.name).alias("n"), *[(self._cell(a) if b == a else F.lit(None).cast(self._type(b))).alias(b.name) for b in seen]) for a in seen]
             rows = parts[0]

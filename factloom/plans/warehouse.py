@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.db import Db
 from factloom.schema import Attribute, Schema
-from factloom.sources.facts import LOG, VALUES, LogSource, RelationalSource, Table, entity, reference
+from factloom.sources.facts import VALUES, LogSource, RelationalSource, Table, entity, reference
 
 #: Partition of each table's entities; the key column; and its attributes: name, type, SQL.
 PARTITIONS = {"region": 16, "nation": 17, "customer": 18, "supplier": 19, "part": 20, "orders": 21, "lineitem": 22, "events": 23, "document": 24}
@@ -56,5 +56,3 @@ def orders_log(spark: SparkSession, sf_dir: str) -> Db:
     schema = Schema.of([Attribute("order/key", "long", unique="identity", indexed=True), Attribute("order/price", "double", indexed=True), Attribute("order/status", "string")])
     return Db(spark, LogSource(log, schema), schema, basis_t=3)
 
-
-assert LOG

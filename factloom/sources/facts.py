@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.schema import SHIFT, TX, TYPES, VIRTUAL, Attribute, Schema
+from factloom.schema import SHIFT, TX, TYPES, Attribute, Schema
 
 VALUES = [(column, {"v_instant": "timestamp", "v_bool": "boolean", "v_bytes": "binary", "v_double": "double", "v_long": "bigint", "v_ref": "bigint"}.get(column, "string")) for column, _ in TYPES.values()]
 #: A row of the log: one assertion or retraction; seq is its place in its transaction.
 LOG = "e bigint, a bigint, attr string, vt string, " + ", ".join(f"{c} {t}" for c, t in VALUES) + ", t bigint, seq int, added boolean"
 
 
+#: What value_key() gives.
+KEY = {"n": "bigint", "d": "double", "s": "string", "b": "binary"}
+KEY_TYPE = ",key:struct<" + ",".join(f"{n}:{t}" for n, t in KEY.items()) + ">"
+#: Signs of a string and what stands for them in EDN; the backslash first.
+ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"))
+
+
 def tx_of(t: Column) -> Column:
     return F.lit(TX << SHIFT).bitwiseOR(t)
 
@@ -93,11 +100,13 @@ class LogSource:
         out = rows.groupBy("e").agg(*picks)
         return out.select("e", *[shown(F.col(f"`{a.ident}`"), a.type).alias(a.ident) for a in attributes])
 
-    def everything(self) -> DataFrame:
-        """(e, attr, v, tx, added) with v as EDN text, for patterns whose attribute is a variable."""
+    def everything(self, typed: bool = False) -> DataFrame:
+        """(e, attr, v, tx, added) with v as EDN text, for patterns whose attribute is a variable; typed: and with key, which orders values of a type."""
         columns = [c for c, _ in VALUES]
         rows = self._folded(lambda log: log.where(F.col("attr").isin(list(self.schema.attributes))), ["e", "attr", "vt", *columns], [x.ident for x in self.schema.attributes.values() if x.no_history])
-        return rows.select("e", "attr", log_text().alias("v"), tx_of(F.col("t")).alias("tx"), "added")
+        keys = [F.coalesce(*[value_key(shown(F.col(column), t), t)[n] for t, (column, _) in TYPES.items()]).alias(n) for n in KEY]
+        more = [F.struct(*keys).alias("key")] if typed else []
+        return rows.select("e", "attr", log_text().alias("v"), tx_of(F.col("t")).alias("tx"), "added", *more)
 
     def at(self, view: View) -> LogSource:
         return replace(self, view=view)
@@ -124,14 +133,16 @@ class RelationalSource:
         return next(t for t in self.tables if a.ident in t.columns)
 
     def _scan(self, table: Table, attributes: Sequence[Attribute]) -> DataFrame:
+        """(e, one column an attribute); of many-valued attributes, whose SQL gives arrays, the set as an array."""
         e = entity(table.partition, table.key).alias("e")
-        columns = []
-        for a in attributes:
-            v = F.expr(table.columns[a.ident])
-            columns.append((F.unix_millis(v.cast("timestamp")) if a.type == "instant" else v.cast(TYPES[a.type][1])).alias(a.ident))
-        return table.frame.select(e, *columns)
+        return table.frame.select(e, *[self._cell(a, F.expr(table.columns[a.ident])).alias(a.ident) for a in attributes])
+
+    @staticmethod
+    def _cell(a: Attribute, v: Column) -> Column:
+        one = (lambda x: F.unix_millis(x.cast("timestamp"))) if a.type == "instant" else (lambda x: x.cast(TYPES[a.type][1]))
+        return F.array_distinct(F.filter(F.transform(v, one), lambda x: x.isNotNull())) if a.many else one(v)
 
-    def attribute(self, a: Attribute) -> DataFrame:
+    def attribute(self, a: Attribute, sealed: bool = False) -> DataFrame:
         out = self._scan(self.table_of(a), [a])
         v = F.explode(f"`{a.ident}`") if a.many else F.col(f"`{a.ident}`")
         out = out.select("e", v.alias("v")).where("v is not null")
@@ -143,13 +154,25 @@ class RelationalSource:
             return None
         return self._scan(table, attributes)
 
-    def everything(self) -> DataFrame:
+    def wide(self, attributes: Sequence[Attribute]) -> DataFrame | None:
+        """star() with many-valued attributes as arrays."""
+        table = self.table_of(attributes[0])
+        return self._scan(table, attributes) if all(a.ident in table.columns for a in attributes) else None
+
+    def everything(self, typed: bool = False) -> DataFrame:
         out = None
         for table in self.tables:
-            attributes = [self.schema.attributes[i] for i in table.columns if i in self.schema.attributes and not self.schema.attributes[i].many]
-            scan = self._scan(table, attributes)
-            pairs = F.array(*[F.struct(F.lit(a.ident).alias("attr"), edn_text(F.col(f"`{a.ident}`"), a.type).alias("v")) for a in attributes])
-            rows = scan.select("e", F.inline(pairs)).where("v is not null").select("e", "attr", "v", F.lit(TX << SHIFT).alias("tx"), F.lit(True).alias("added"))
+            attributes = [self.schema.attributes[i] for i in table.columns if i in self.schema.attributes]
+
+            def fact(a: Attribute, v: Column) -> Column:
+                fields = [F.lit(a.ident).alias("attr"), edn_text(v, a.type).alias("v")]
+                return F.struct(*fields, F.struct(*[c.alias(n) for n, c in value_key(v, a.type).items()]).alias("key")) if typed else F.struct(*fields)
+
+            one = [F.array(fact(a, F.col(f"`{a.ident}`"))) if not a.many else F.transform(f"`{a.ident}`", lambda v, a=a: fact(a, v)) for a in attributes]
+            none = F.array().cast(f"array<struct<attr:string,v:string{KEY_TYPE if typed else ''}>>")
+            pairs = F.concat(*[F.coalesce(x, none) for x in one])
+            rows = self._scan(table, attributes).select("e", F.inline(pairs)).where("v is not null")
+            rows = rows.select("e", "attr", "v", F.lit(TX << SHIFT).alias("tx"), F.lit(True).alias("added"), *(["key"] if typed else []))
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -176,6 +199,8 @@ def key_of(e: str) -> str:
 def edn_text(v: Column, type_: str) -> Column:
     """A value as EDN text, equal for equal values: what a value of unknown type is compared by."""
     if type_ == "string":
+        for sign, escaped in ESCAPES:
+            v = F.replace(v, F.lit(sign), F.lit(escaped))
         return F.concat(F.lit('"'), v, F.lit('"'))
     if type_ == "uuid":
         return F.concat(F.lit('#uuid "'), v, F.lit('"'))
@@ -186,6 +211,13 @@ def edn_text(v: Column, type_: str) -> Column:
     return v.cast("string")
 
 
+def value_key(v: Column, type_: str) -> dict[str, Column]:
+    """What orders values of one type, as columns of which one isn't null: number, double, text or bytes."""
+    kind = {"double": "d", "string": "s", "keyword": "s", "uuid": "s", "bytes": "b", "sealed": "b"}.get(type_, "n")
+    v = F.ltrim(v, F.lit(":")) if type_ == "keyword" else v
+    return {n: (v if n == kind else F.lit(None)).cast(t) for n, t in KEY.items()}
+
+
 def log_text() -> Column:
     """A log row's value as EDN text."""
     plain = F.coalesce(*[edn_text(shown(F.col(column), t), t) for t, (column, _) in TYPES.items()])
@@ -198,5 +230,3 @@ def read_log(spark: SparkSession, path: str, until: int | None = None) -> DataFr
     out = spark.read.schema(schema).option("basePath", path).parquet(path)
     return out if until is None else out.where(F.col("t") <= until)
 
-
-FIRST_VIRTUAL = VIRTUAL
