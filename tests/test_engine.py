@@ -422,6 +422,74 @@ def test_snapshots(spark, tmp_path):
     assert shut.q("[:find (count ?p) . :with ?e :where [?e :p/pin ?p]]").value() == c.db().q("[:find (count ?p) . :with ?e :where [?e :p/pin ?p]]").value()
 
 
+def test_commits_are_exclusive(spark, tmp_path):
+    """Of two writers of one t one succeeds; a writer that stopped after its claim is finished by the next."""
+    path = str(tmp_path / "race")
+    one, two = Connection(spark, path, SCHEMA), Connection(spark, path, SCHEMA)
+    one.transact('[{:p/name "A"}]')
+    a, b = one.staged(), two.staged()
+    a.transact('[{:p/name "B"}]')
+    b.transact('[{:p/name "C"}]')
+    a.commit()
+    with pytest.raises(BasisMismatch):
+        b.commit()
+    assert sorted(x.name for x in (tmp_path / "race" / "log").iterdir()) == ["t=1", "t=2"]
+    assert not [x for x in (tmp_path / "race" / "log" / "t=2").iterdir() if x.is_dir()]
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(k: int) -> bool:
+        c = Connection(spark, path, SCHEMA)
+        s = c.staged()
+        s.transact([{K("p/name"): f"T{k}"}])
+        try:
+            s.commit()
+            return True
+        except BasisMismatch:
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        won = sum(pool.map(write, range(4)))
+    assert won == one.basis() - 2 and one.db().q("[:find (count ?e) . :where [?e :p/name _]]").value() == 2 + won
+    # claimed, not yet in the log
+    t = one.basis() + 1
+    staged = f"{path}/_staging/late"
+    one._frame([(2 << 42 | 5000, "p/name", "late", True)]).write.parquet(staged)
+    assert one._create(f"{path}/claims/{t}", staged.encode()) and not one._create(f"{path}/claims/{t}", b"x")
+    with pytest.raises(BasisMismatch):
+        two._publish(f"{path}/_staging/other", t)
+    assert one.basis() == t and two.sync().q('[:find ?e . :where [?e :p/name "late"]]').value() == 2 << 42 | 5000
+    two.transact('[{:p/name "after"}]')
+    assert two.db().q('[:find ?e . :where [?e :p/name "after"]]').value() > 2 << 42 | 5000 and one.sync_to(t + 1).basis_t == t + 1
+    with pytest.raises(TxError):
+        one.sync_to(t + 5, timeout=0.1)
+
+
+def test_index_order(spark, tmp_path):
+    """Raw indexes are ordered and sought by value, whatever its type; strings with quotes can be read back."""
+    c = Connection(spark, str(tmp_path / "order"), SCHEMA.merged(Schema.of([Attribute("p/n", "long", indexed=True), Attribute("p/d", "double", indexed=True)])))
+    c.transact([{K("p/name"): x, K("p/n"): n, K("p/d"): n / 4} for x, n in (('say "hi"\\', 9), ("b\n", 10), ("c", -3), ("d", 100))])
+    db = c.db()
+    assert [r["v"] for r in db.datoms("avet", ":p/n").collect()] == ["-3", "9", "10", "100"]
+    assert [r["v"] for r in db.seek_datoms("avet", ":p/n", 9).where("attr = 'p/n'").collect()] == ["9", "10", "100"]
+    assert db.datoms("avet", ":p/d", 25).count() == 1 and db.datoms("avet", ":p/d", 2.5).count() == 1
+    assert [r["v"] for r in db.seek_datoms("avet", ":p/d", 2).where("attr = 'p/d'").collect()] == ["2.25", "2.5", "25.0"]
+    names = {v for e, a, v in db.q("[:find ?e ?a ?v :where [?e ?a ?v] [?e :p/n _]]").value() if a == K("p/name")}
+    assert names == {'say "hi"\\', "b\n", "c", "d"}
+    assert db.q("[:find ?n . :in $ ?v :where [?e ?a ?v] [?e :p/n ?n]]", 'say "hi"\\').value() == 9
+    assert [r["v"] for r in db.values([K("p/name"), "c"], ":p/n").collect()] == [-3]
+    assert [r["v"] for r in db.datoms_for_attribute(":p/d").collect()] == [2.25, 2.5, -0.75, 25.0]
+    assert sum(map(len, db.q("[:find ?n :where [_ :p/n ?n]]").chunks(3))) == 4
+
+
+def test_or_join_with_an_unbound_branch(conn):
+    db = conn.db()
+    query = '[:find ?n ?a :where [?e :p/name ?n] (or-join [?e ?a] [?e :p/age ?a] [?e :p/friend _]) [?f :p/age ?a]]'
+    got = db.q(query).value()
+    assert got == [["Ann", 31], ["Bob", 20], ["Bob", 31], ["Cat", 20], ["Cat", 31]]
+    with pytest.raises(QueryError):
+        db.q("[:find ?n ?a :where [?e :p/name ?n] (or-join [?e ?a] [?e :p/age ?a] [?e :p/friend _])]").df.count()
+
+
 def test_schema_texts():
     classes = '[{:db.protect/ident :protect/pii :db.protect/key "file:/k" :db.protect/on-missing-key :db.protect.missing/hide} {:db/ident :w/ssn :db/valueType :db.type/string :db/protection :protect/pii}]'
     assert Schema.from_edn(edn.read(classes)).get(":w/ssn").protection.missing == "hide"
