@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,7 +168,7 @@ class RelationalSource:
                 fields = [F.lit(a.ident).alias("attr"), edn_text(v, a.type).alias("v")]
                 return F.struct(*fields, F.struct(*[c.alias(n) for n, c in value_key(v, a.type).items()]).alias("key")) if typed else F.struct(*fields)
 
-            one = [F.array(fact(a, F.col(f"`{a.ident}`"))) if not a.many else F.transform(f"`{a.ident}`", lambda v, a=a: fact(a, v)) for a in attributes]
+            one = [F.transform(f"`{a.ident}`", partial(fact, a)) if a.many else F.array(fact(a, F.col(f"`{a.ident}`"))) for a in attributes]
             none = F.array().cast(f"array<struct<attr:string,v:string{KEY_TYPE if typed else ''}>>")
             pairs = F.concat(*[F.coalesce(x, none) for x in one])
             rows = self._scan(table, attributes).select("e", F.inline(pairs)).where("v is not null")

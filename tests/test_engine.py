@@ -522,7 +522,7 @@ def test_registered_queries_match_sql(spark):
         path = f"{base}/{name}.parquet"
         con.sql(f"create view {name} as select * from '{path if os.path.isfile(path) else path + '/*.parquet'}'")
     queries = entry.queries()
-    for name in ("pattern_join", "or_join", "not_join", "rule_union", "agg_median", "view_history", "sql_wide_scan", "impact_duplicates"):
+    for name in ("star_join", "or_join_unbound", "not_join", "rule_union", "agg_median", "view_history", "sql_many_cells", "impact_duplicates", "seek_datoms", "attr_var_many", "tx_range", "tx_retract_entity", "pull_nested", "sql_update"):
         df, want = queries[name](spark, base), con.sql(entry.oracle_sql()[name])
         columns = sorted(df.columns)
         assert columns == sorted(want.columns)
