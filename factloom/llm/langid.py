@@ -25,9 +25,10 @@ from .shared import OWN
 #: Bytes of context; rows that a model is trained on at most (a sample by hash of the id, for each language).
 ORDER, ROWS = 3, 400
 UNKNOWN = "und"
-#: What accepted() lets a text cost: the median bits a byte of its language's held-out texts and so many of their deviations (1.4826 times
-#: the median one), and so many bits besides, which a short text may need to be told at all.
-DEVIATIONS, SPARE_BITS = 8.0, 64.0
+#: What accepted() lets a text cost: so many times the median bits a byte of its language's held-out texts, and so many bits besides, which a
+#: short text with a code or two in it may need. Words that the trees haven't seen cost far less than twice what known ones do; other scripts, codes and noise cost more.
+TIMES, SPARE_BITS = 2.0, 256.0
+#: Bytes of a text that are scored at a time.
 CHUNK = 1 << 18
 
 
@@ -196,8 +197,7 @@ def limits(model: Model, labelled: DataFrame, rows: int = ROWS) -> dict[str, flo
     p = predictor(model, labelled.sparkSession)("text").alias("p")
     for lang, cost in picked.select("lang", p).where("p.lang_pred = lang and p.bytes > 0").selectExpr("lang", "p.bits / p.bytes").collect():  # the sample's size bounds it
         costs.setdefault(lang, []).append(cost)
-    middle = {lang: float(np.median(x)) for lang, x in costs.items()}
-    return {lang: m + DEVIATIONS * 1.4826 * float(np.median(np.abs(np.array(costs[lang]) - m))) for lang, m in middle.items()}
+    return {lang: TIMES * float(np.median(x)) for lang, x in costs.items()}
 
 
 def accepted(docs: DataFrame, rows: int = ROWS) -> DataFrame:
