@@ -6,8 +6,9 @@ context that has been seen: n / (total + kinds) for a byte seen there n times, a
 probability kinds / (total + kinds) (method C) times p in the next shorter context, down to 1 / 256. The
 language with the shortest exact code length for the whole text is predicted.
 
-The trees are laid out as arrays: a context of ORDER bytes has a number, and a row for each number and next
-byte holds the cost in every language, so a text is scored by two look-ups a byte.
+The trees are laid out as tables of the runs of bytes that occur, for each length of context, with what they cost
+in every language. A byte is looked up in the longest context, and goes down a length, at the price of the
+escape, while no language knows it there. So a model takes what the distinct runs take, however much is learned.
 """
 
 from __future__ import annotations
@@ -17,40 +18,96 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import OWN
 
-#: Bytes of context; rows that a model is trained on at most (a sample by hash of the id, for each language).
-ORDER, ROWS = 3, 400
+#: Bytes of context.
+ORDER = 3
 UNKNOWN = "und"
 #: What accepted() lets a text cost: so many times the median bits a byte of its language's held-out texts, and so many bits besides, which a
 #: short text with a code or two in it may need. Words that the trees haven't seen cost far less than twice what known ones do; other scripts, codes and noise cost more.
 TIMES, SPARE_BITS = 2.0, 256.0
-#: Bytes of a text that are scored at a time.
-CHUNK = 1 << 18
+#: Costs are rounded up to such a part of a bit before their median is taken.
+PART = 1024
+#: Bytes of a text that are scored at a time, and that are counted at a time; distinct runs that a counting task holds before it passes them on.
+CHUNK, HELD = 1 << 18, 1 << 20
+
+
+class Numbers:
+    """A sorted array of numbers without repeats, with a hash table of their places that is half full at most."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.bits = known, max(4, (2 * len(known)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(known), dtype=np.int32), self._first(known)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            open_ = self.slots[at] != left
+            left, at = left[open_], self._next(at[open_])
+
+    def _first(self, x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 & (1 << self.bits) - 1
+
+    def places(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where wanted are, and whether they are there at all."""
+        at = self._first(wanted)
+        place = self.slots[at]
+        there = self.known[place] == wanted  # an empty slot has -1: the last number, which is not wanted there
+        open_ = np.flatnonzero(~there & (place >= 0))
+        at = at[open_]
+        while len(open_):
+            at = self._next(at)
+            place[open_] = found = self.slots[at]
+            there[open_] = hit = self.known[found] == wanted[open_]
+            more = ~hit & (found >= 0)
+            open_, at = open_[more], at[more]
+        return place, there
+
+
+@dataclass
+class Level:
+    """runs (a context and the next byte) and contexts of one length, by number; cost, escape: their bits by language."""
+
+    runs: Numbers
+    cost: np.ndarray
+    contexts: Numbers
+    escape: np.ndarray
 
 
 @dataclass
 class Model:
-    """langs: names; code: a number for each byte; state: of each context; cost: bits by state, byte, language."""
+    """langs: names; code: a number below size for each byte; levels: by length of context, from 0."""
 
     langs: list[str]
     code: np.ndarray
-    state: np.ndarray
-    cost: np.ndarray
+    size: int
+    levels: list[Level]
 
     def lengths(self, text: bytes) -> np.ndarray:
         """The exact code length of text in bits, for each language."""
-        size, total = self.cost.shape[1], np.zeros(len(self.langs))
+        total = np.zeros(len(self.langs))
         for at in range(0, len(text), CHUNK):
             part = self.code[np.frombuffer(text, np.uint8, min(CHUNK, len(text) - at) + min(at, ORDER), max(0, at - ORDER))]
             part = np.concatenate([np.zeros(ORDER - min(at, ORDER), part.dtype), part])
-            context = part[:-ORDER].astype(np.int64)
-            for k in range(1, ORDER):
-                context = context * size + part[k : k - ORDER]
-            total += self.cost.reshape(-1, len(self.langs))[self.state[context] * size + part[ORDER:]].sum(axis=0, dtype=np.float64)
+            run = part[:-ORDER].astype(np.int64)
+            for k in range(1, ORDER + 1):
+                run = run * self.size + part[k : len(part) - ORDER + k]
+            for k in range(ORDER, -1, -1):
+                level, run = self.levels[k], run % self.size ** (k + 1)
+                place, there = level.runs.places(run)
+                total += level.cost[place[there]].sum(axis=0, dtype=np.float64)
+                run = run[~there]
+                if not len(run):
+                    break
+                place, there = level.contexts.places(run // self.size)
+                total += level.escape[place[there]].sum(axis=0, dtype=np.float64)
+            total += 8.0 * len(run)  # bytes that were never seen
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -79,87 +136,103 @@ def _grams(texts: list[bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def counts(samples: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each run of ORDER + 1 bytes occurs in samples(text, lang), by language."""
+def _chunks(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
+    """_grams() of texts, of about CHUNK bytes at a time; longer texts in pieces."""
+    some, size = [], 0
+    for t in texts:
+        if len(t) > CHUNK:
+            for at in range(0, len(t), CHUNK):
+                yield _grams([t[max(0, at - ORDER) : at + CHUNK]])[min(at, ORDER) :]
+            continue
+        some.append(t)
+        size += len(t)
+        if size > CHUNK:
+            yield _grams(some)
+            some, size = [], 0
+    yield _grams(some)
+
+
+def _summed(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams with the sums of their n."""
+    order = np.argsort(gram, kind="stable")
+    gram, n = gram[order], n[order]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return gram[first], np.add.reduceat(n, first)
+
+
+def counts(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often each run of ORDER + 1 bytes occurs in labelled(text, lang), by language; null texts have none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by: dict[str, list[bytes]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append((text or "").encode("utf-8", "surrogatepass"))
-            for lang, texts in by.items():
-                gram, n = np.unique(_grams(texts), return_counts=True)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, (gram, n) in held.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+            held.clear()
 
-    each = samples.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
+        for batch in batches:
+            where: dict[str, list[int]] = {}
+            for i, lang in enumerate(batch.column(1).to_pylist()):
+                where.setdefault(lang, []).append(i)
+            for lang, rows in where.items():
+                for grams in _chunks((batch.column(0)[i].as_py() or "").encode("utf-8", "surrogatepass") for i in rows):
+                    if len(grams):
+                        gram, n = np.unique(grams, return_counts=True)
+                        if lang in held:
+                            gram, n = _summed(np.concatenate([held[lang][0], gram]), np.concatenate([held[lang][1], n]))
+                        held[lang] = gram, n
+                    if sum(len(x) for x, _ in held.values()) > HELD:
+                        yield from passed_on()
+        yield from passed_on()
+
+    each = labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
     return each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def build(langs: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
     """The frozen trees of counts()'s columns."""
     names = sorted(set(langs.tolist()))
+    number = {name: j for j, name in enumerate(names)}
+    lang = np.fromiter(map(number.__getitem__, langs.tolist()), np.int64, len(langs))
     digits = grams[:, None] // 257 ** np.arange(ORDER, -1, -1)[None, :] % 257  # oldest first; the last is the byte itself
     seen = np.unique(digits[digits > 0]) - 1
     size = len(seen) + 2  # 0 is before the start, the last is any byte never seen
     code = np.full(256, size - 1, np.uint16)
     code[seen] = np.arange(1, len(seen) + 1)
-    small = np.where(digits > 0, code[np.maximum(digits, 1) - 1], 0).astype(np.int64)
-    context = np.zeros(len(grams), np.int64)
-    for k in range(ORDER):
-        context = context * size + small[:, k]
-    # every context of the union has a state; the others share one state for each shorter context
-    short = size ** (ORDER - 1)
-    known = np.unique(context)
-    state = np.arange(size**ORDER, dtype=np.int32) % short
-    state[known] = short + np.arange(len(known))
-    cost = np.empty((short + len(known), size, len(names)), np.float32)
-    for j, name in enumerate(names):
-        mine = langs == name
-        c, s, w = context[mine], small[mine, ORDER], n[mine]
-        p = np.full((1, size), 1 / 256)
-        for k in range(ORDER):  # p: by context of k bytes and next byte
-            table = np.zeros((size**k, size))
-            np.add.at(table, (c % size**k, s), w)
-            p = _blend(table, np.tile(p, (size if k else 1, 1)))
-        table = np.zeros((len(known), size))
-        np.add.at(table, (np.searchsorted(known, c), s), w)
-        cost[:short, :, j] = -np.log2(p)
-        cost[short:, :, j] = -np.log2(_blend(table, p[known % short]))
-    return Model(names, code, state, cost)
-
-
-def _blend(table: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Probabilities in a context, given those of the next shorter one."""
-    total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-    escape = np.where(total > 0, kinds / np.maximum(1, total + kinds), 1.0)
-    return np.where(table > 0, table / np.maximum(1, total + kinds), escape * below)
-
-
-def train(labelled: DataFrame, rows: int = ROWS) -> Model:
-    """A model of labelled(doc_id, text, lang): of each language, about rows rows by hash of the id, whole texts.
-
-    Rows without text or language are left out. rows bounds what the trees hold; everything is scored whole.
-    """
-    picked = sample(labelled, rows)
-    if picked is None:
-        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
-    table = counts(picked).toPandas()
-    return build(table["lang"].to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy())
-
-
-def sample(labelled: DataFrame, rows: int) -> DataFrame | None:
-    """Of each language about rows rows by hash of the id, of those with text and language; None where there are none."""
-    usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))]), F.col("lang"))
-    return usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
+    run = np.zeros(len(grams), np.int64)
+    for k in range(ORDER + 1):
+        run = run * size + np.where(digits[:, k] > 0, code[np.maximum(digits[:, k], 1) - 1], 0)
+    levels: list[Level] = []
+    p = np.empty((0, len(names)))
+    for k in range(ORDER + 1 if names else 0):  # p: of each run with a context of k bytes, by language
+        runs, inverse = np.unique(run % size ** (k + 1), return_inverse=True)
+        table = np.bincount(inverse * len(names) + lang, weights=n, minlength=len(runs) * len(names)).reshape(len(runs), len(names))
+        contexts, first, mine = np.unique(runs // size, return_index=True, return_inverse=True)
+        total, kinds = np.add.reduceat(table, first), np.add.reduceat((table > 0).astype(np.int64), first)
+        escape = np.where(total > 0, kinds / np.maximum(1, total + kinds), 1.0)
+        below = p[np.searchsorted(levels[-1].runs.known, runs % size**k)] if k else 1 / 256
+        p = np.where(table > 0, table / np.maximum(1, total + kinds)[mine], escape[mine] * below)
+        levels.append(Level(Numbers(runs), (-np.log2(p)).astype(np.float32), Numbers(contexts), (-np.log2(escape)).astype(np.float32)))
+    return Model(names, code, size, levels)
+
+
+def _usable(docs: DataFrame) -> DataFrame:
+    """The rows with text and language."""
+    return docs.where("text is not null and lang is not null")
+
+
+def train(labelled: DataFrame) -> Model:
+    """A model of all of labelled(text, lang), whole texts. Rows without text or language are left out."""
+    table = counts(_usable(labelled)).toArrow()  # the distinct runs, by language
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    names = np.array(langs.dictionary.to_pylist(), object)
+    return build(names[langs.indices.to_numpy()], table["gram"].to_numpy(), table["n"].to_numpy())
 
 
 def predictor(model: Model, spark) -> Column:
     """A function of a text column: struct (lang_pred, score, bits, bytes)."""
-    held = spark.sparkContext.broadcast(model)  # of a size that the training sample bounds
+    held = spark.sparkContext.broadcast(model)  # of the size of the distinct runs
 
     kinds = {"lang_pred": pa.string(), "score": pa.float64(), "bits": pa.float64(), "bytes": pa.int64()}
 
@@ -176,31 +249,33 @@ def fold() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def identified(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+def identified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs(doc_id, text, lang).
 
     Null and empty texts, and texts without a letter, are UNKNOWN with score 0, as is everything when no row is
     labelled. Of languages that tie the first by name is taken; repeated rows get equal answers; an empty table
     gives none; other columns don't matter.
     """
-    model = train(docs.where(fold() != 2), rows)
+    model = train(docs.where(fold() != 2))
     out = docs.select("doc_id", (fold() == 2).alias("held_out"), predictor(model, docs.sparkSession)("text").alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def limits(model: Model, labelled: DataFrame, rows: int = ROWS) -> dict[str, float]:
-    """The most bits a byte that a text of each language may cost, by what a sample of labelled texts that model hasn't seen costs."""
-    picked = sample(labelled, rows)
-    if picked is None or not model.langs:
-        return {}
-    costs: dict[str, list[float]] = {}
-    p = predictor(model, labelled.sparkSession)("text").alias("p")
-    for lang, cost in picked.select("lang", p).where("p.lang_pred = lang and p.bytes > 0").selectExpr("lang", "p.bits / p.bytes").collect():  # the sample's size bounds it
-        costs.setdefault(lang, []).append(cost)
-    return {lang: TIMES * float(np.median(x)) for lang, x in costs.items()}
+def limits(predict: Column, labelled: DataFrame) -> dict[str, float]:
+    """The most bits a byte that a text of each language may cost, by what all labelled texts that the model hasn't seen cost.
+
+    predict: a predictor(). Texts of another language than predicted don't count.
+    """
+    p = _usable(labelled).select("lang", predict("text").alias("p")).where("p.lang_pred = lang and p.bytes > 0")
+    costs = p.groupBy("lang", F.ceil(F.col("p.bits") / F.col("p.bytes") * PART).alias("parts")).agg(F.count("*").alias("n"))
+    # one row for each rounded cost, however many texts
+    same = Window.partitionBy("lang")
+    ranked = costs.select("lang", "parts", F.sum("n").over(same.orderBy("parts")).alias("upto"), F.sum("n").over(same).alias("all"))
+    middle = ranked.where("2 * upto >= all").groupBy("lang").agg(F.min("parts").alias("parts"))
+    return {r["lang"]: TIMES * r["parts"] / PART for r in middle.collect()}
 
 
-def accepted(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows that are UNKNOWN or that no learned language explains; columns as they came.
 
     A text is explained if its code length in the predicted language is within limits(). The trees learn from one
@@ -208,9 +283,8 @@ def accepted(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     Null and letterless texts go; repeated rows stay or go together; without any labelled row all go; an empty
     table stays empty; columns of any name pass.
     """
-    model = train(docs.where(fold().isin(0, 1)), rows)
-    most = limits(model, docs.where(fold() == 3), rows)
-    p = predictor(model, docs.sparkSession)("text")
+    predict = predictor(train(docs.where(fold().isin(0, 1))), docs.sparkSession)
+    most = limits(predict, docs.where(fold() == 3))
     limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in most.items() for x in (lang, n)]), F.col(f"{OWN}p.lang_pred")) if most else F.lit(None)
     fits = limit.isNull() | (F.col(f"{OWN}p.bits") <= limit * F.col(f"{OWN}p.bytes") + SPARE_BITS)
-    return docs.withColumn(f"{OWN}p", p).where((F.col(f"{OWN}p.lang_pred") != UNKNOWN) & fits).select(*docs.columns)
+    return docs.withColumn(f"{OWN}p", predict("text")).where((F.col(f"{OWN}p.lang_pred") != UNKNOWN) & fits).select(*docs.columns)
