@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -561,6 +562,17 @@ def test_op9_learns_from_every_row(spark):
     assert sum(map(len, costs.values())) > 1500 and langid.limits(langid.predictor(model, spark), df) == want
 
 
+def test_op9_model_takes_what_its_runs_take():
+    r = random.Random(4)
+    texts = {lang: [bytes(r.randrange(32, 132) for _ in range(500))] for lang in ("a", "b", "c", "d")}
+    grams = {lang: np.unique(langid._grams(x), return_counts=True) for lang, x in texts.items()}
+    runs = sum(len(g) for g, _ in grams.values())
+    model = langid.build(np.concatenate([[lang] * len(g) for lang, (g, _) in grams.items()]), *(np.concatenate(x) for x in zip(*grams.values())))
+    # a run and a context for each length: a cost for each language, a number and its slots
+    assert len(pickle.dumps(model)) < 10_000 + runs * (langid.ORDER + 1) * 2 * (4 * len(texts) + 8 + 16)
+    assert model.predict(texts["c"][0].decode("latin-1"))[0] == "c"
+
+
 def test_op10(docs, none):
     got = Counter(tuple(x)[:8] for x in quality.rated(docs).collect())
     want = Counter()
