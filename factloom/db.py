@@ -204,11 +204,14 @@ class Db:
         return out.select("e", "v", "tx").orderBy("v", "e")
 
     def tx_range(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        """(t, seq, e, attr, v, added) of start <= t < end, a row for each datom, in order of t and seq; v as EDN text."""
+        """(t, seq, e, attr, v, added) of start <= t < end, a row for each datom, in order of t and seq; v as EDN text.
+
+        Rows of a log that was loaded may share t and seq: what follows in the order deals them to many tasks.
+        """
         log = self.log()
         log = log if start is None else log.where(F.col("t") >= start)
         log = log if end is None else log.where(F.col("t") < end)
-        return log.select("t", "seq", "e", "attr", log_text().alias("v"), "added").orderBy("t", "seq")
+        return log.select("t", "seq", "e", "attr", log_text().alias("v"), "added").orderBy("t", "seq", "e", "attr", "v", "added")
 
     def recorded_since(self, t: int) -> DataFrame:
         return self.log().where(F.col("t") > t)

@@ -21,7 +21,7 @@ def subscribe(spark: SparkSession, path: str, checkpoint: str, on_tx: Callable[[
     """Calls on_tx with each batch's facts after from_t, in order of (t, seq); where it has got to is in checkpoint."""
 
     def batch(df: DataFrame, _: int) -> None:
-        rows = df.where(F.col("t") > from_t).orderBy("t", "seq")
+        rows = df.where(F.col("t") > from_t).orderBy("t", "seq", "e", "attr")
         if not rows.isEmpty():
             on_tx(rows)
 

@@ -512,6 +512,21 @@ def test_scan_shapes(spark):
     assert text.count("FileScan") == 1 and "EqualTo(c_mktsegment,BUILDING)" in text
 
 
+def test_equal_places_are_dealt_to_many_tasks(spark):
+    """All facts of t=3 share their seq; no task sorts them all."""
+    from pyspark.sql import functions as F
+
+    from factloom.plans.warehouse import orders_log
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = orders_log(spark, "/root/testdata/sf0.01").tx_range(3, 4)
+        tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) > 1000 and max(tasks) < sum(tasks) / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_registered_queries_match_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
