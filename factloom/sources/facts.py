@@ -17,6 +17,9 @@ VALUES = [(column, {"v_instant": "timestamp", "v_bool": "boolean", "v_bytes": "b
 LOG = "e bigint, a bigint, attr string, vt string, " + ", ".join(f"{c} {t}" for c, t in VALUES) + ", t bigint, seq int, added boolean"
 
 
+#: Bytes of a log, as Spark estimates them, that one task folds; below FEW_SHARES of them Spark chooses the tasks.
+SHARE, FEW_SHARES, MOST_SHARES = 16 << 20, 12, 20_000
+
 #: What value_key() gives.
 KEY = {"n": "bigint", "d": "double", "s": "string", "b": "binary"}
 KEY_TYPE = ",key:struct<" + ",".join(f"{n}:{t}" for n, t in KEY.items()) + ">"
@@ -41,13 +44,24 @@ class View:
     t: int | None = None
 
 
+def _last(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each fact, what was last said of it.
+
+    A maximum of structs is found by sorting. Few facts recur in a part of a file, so rows are dealt by their keys before
+    it, and those of a large log to as many tasks as it has shares: a task's memory doesn't follow the log.
+    """
+    shares = int(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARE
+    dealt = log.repartition(min(shares, MOST_SHARES), *keys) if shares >= FEW_SHARES else log.repartition(*keys)
+    return dealt.groupBy(*keys).agg(F.max(F.struct("t", "seq", "added")).alias("last"))
+
+
 def folded(log: DataFrame, view: View, keys: Sequence[str], no_history: Sequence[str] = ()) -> DataFrame:
     """The log's rows that a view shows: of each fact the last, if it asserts, but all in history."""
     if view.kind == "history":
         return log.where(~F.col("attr").isin(list(no_history))) if no_history else log
     if view.kind == "as-of":
         log = log.where(F.col("t") <= view.t)
-    last = log.groupBy(*keys).agg(F.max(F.struct("t", "seq", "added")).alias("last")).where("last.added")
+    last = _last(log, keys).where("last.added")
     out = last.select(*keys, "last.t", "last.seq", "last.added")
     return out.where(F.col("t") > view.t) if view.kind == "since" else out
 
@@ -72,7 +86,7 @@ class LogSource:
             return folded(shape(self.log), view, keys, no_history)
         tail = self.log.where(F.col("t") > self.snapshot_t)
         tail = tail.where(F.col("t") <= view.t) if view.kind == "as-of" else tail
-        last = shape(tail).groupBy(*keys).agg(F.max(F.struct("t", "seq", "added")).alias("last"))
+        last = _last(shape(tail), keys)
         touched = last.select(*[F.col(k).alias(f"__{k}") for k in keys])
         names = [*keys, "t", "seq", "added"]
         # no shuffle of the snapshot while what came after it is small

@@ -527,6 +527,21 @@ def test_equal_places_are_dealt_to_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_tasks_that_fold_a_log_follow_its_size(spark, monkeypatch):
+    """A large log is folded by as many tasks as it has shares, and nothing is sorted before it is dealt."""
+    from pyspark.sql import functions as F
+
+    from factloom.plans.warehouse import orders_log
+    from factloom.sources import facts
+
+    monkeypatch.setattr(facts, "SHARE", 100_000, raising=False)
+    db = orders_log(spark, "/root/testdata/sf0.01")
+    tasks = [r["count"] for r in db.source.everything().groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 15000 * 3 - 1500 and max(tasks) < sum(tasks) / 10
+    plan = db.stats()._jdf.queryExecution().sparkPlan().toString()
+    assert "Sort" not in plan.split("REPARTITION")[-1]
+
+
 def test_registered_queries_match_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
