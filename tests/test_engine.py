@@ -527,6 +527,33 @@ def test_equal_places_are_dealt_to_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_access_of_many_to_one_object(spark, monkeypatch):
+    """Requests for one object, of which many subjects are of one kind, are dealt to many tasks; outcomes are those of each alone."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(access, "PART", 50, raising=False)
+    tuples = [(f"user:{k}", "member", f"team:{k % 3}") for k in range(600)] + [("team:0#member", "viewer", "doc:1"), ("team:1#member", "editor", "doc:1"), ("bot:*", "viewer", "doc:1"), ("doc:1", "viewer", "doc:*")]
+    tuples = spark.createDataFrame(tuples, "subject string, relation string, object string")
+    rewrites = spark.createDataFrame([("viewer", "self", "editor", None)], "relation string, via_relation string, on_relation string, object_type string")
+    requests = [(k, f"user:{k % 600}", "viewer", "doc:1") for k in range(900)] + [(1000 + k, f"bot:{k}", "viewer", "doc:1") for k in range(300)] + [(2000, None, "viewer", "doc:1"), (2001, "user:0", None, "doc:1")]
+    requests = spark.createDataFrame(requests, "rid long, subject string, relation string, object string")
+    out = access.check(tuples, requests, rewrites).collect()
+    got = {r["rid"]: (r["outcome"], r["hops"]) for r in out}
+    assert len(out) == len(got) == 1202
+    assert all(got[k] == (("granted", 1) if k % 600 % 3 == 0 else ("denied", None)) for k in range(900))
+    assert all(got[1000 + k] == ("granted", 0) for k in range(300)) and got[2000] == got[2001] == ("denied", None)
+    few = tuples.where("subject = 'bot:*'").select("relation", "object", "subject")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = access._spread(requests.where("rid < 2000"), few.drop("subject"), ["relation", "object"], ["rid"], "left_semi").hint("merge")
+        tasks = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(tasks) == 1200 and max(tasks) < 800
+    few = access.check(tuples, requests, rewrites, most_goals=1).collect()
+    assert {r["outcome"] for r in few if r["rid"] < 900 or r["rid"] == 2000} == {"exhausted"}
+
+
 def test_tasks_that_fold_a_log_follow_its_size(spark, monkeypatch):
     """A large log is folded by as many tasks as it has shares, and nothing is sorted before it is dealt."""
     from pyspark.sql import functions as F
