@@ -313,6 +313,7 @@ def q(query: Any, *inputs: Any, functions: dict[str, tuple[Callable, Any, str]]
             ctx.rules = plan.flattened(parsing.rules(v))
         elif not (isinstance(x, parsing.Symbol) and x.name.startswith("$")):
             frame = _input(ctx, frame, x, v, any_)
+    ctx.recurs = plan.recursive(ctx.rules, parsed.where)
     needed = {f.var for f in parsed.find} | set(parsed.with_)
     frame = plan.conjunction(ctx, parsed.where, frame, needed)
     return _project(parsed, frame, dbs)

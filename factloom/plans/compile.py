@@ -27,6 +27,9 @@ from factloom.sources.facts import edn_text
 WHOLE = ("long", "ref", "instant")
 #: Rounds of a recursion whose tables are read side by side before they are written as one.
 TOGETHER = 16
+#: Rows of a table or relation from which a query with recursion doesn't leave it to Spark whether to broadcast it: Spark
+#: would go by the size of the compressed file.
+MANY = 100_000
 
 
 @dataclass
@@ -53,6 +56,7 @@ class Context:
     done: dict[str, Frame] = field(default_factory=dict)  # relations of recursive rules
     fresh: Any = field(default_factory=count)
     within: bool = False  # a rule's body, within its fixpoint
+    recurs: bool = False  # the query calls a recursive rule
 
     def db(self, source: str) -> Any:
         if source not in self.dbs:
@@ -229,7 +233,16 @@ def _pattern(ctx: Context, c: Pattern, frame: Frame, left: list, live: set[str])
         else:
             scan = _bind(ctx, db, db.facts(attribute), [(e, "e", "ref"), (v, "v", db.type_of(attribute), attribute), (tx, "tx", "ref"), (added, "added", "boolean")])
     wanted = live.union(frame.types, *map(all_vars, left)) if left else live | set(frame.types)
-    return joined(frame, scan.keep(wanted), live)
+    scan = scan.keep(wanted)
+    if ctx.recurs and not isinstance(a, Var) and attribute is not None and db.source.many(attribute, MANY):
+        scan = Frame(scan.df.hint("merge"), scan.types)
+    return joined(frame, scan, live)
+
+
+def recursive(rules: dict[str, list[Rule]], clauses: Sequence[Any]) -> bool:
+    """Whether clauses call a recursive rule, directly or not."""
+    start = "%"
+    return any(n in reach(rules, n) for n in reach(rules | {start: [Rule(start, [], [], list(clauses))]}, start))
 
 
 def _bind(ctx: Context, db: Any, df: DataFrame, places: list) -> Frame:
@@ -638,6 +651,7 @@ def fixpoint(ctx: Context, name: str, most: int = 10_000) -> None:
         if any(other in group and negated for other, negated in calls(ctx.rules, n)):
             raise QueryError(f"{n} recurs through not")
     total: dict[str, Frame] = {}
+    rows = dict.fromkeys(group, 0)
     bases: dict[str, list[list[Any]]] = {n: [] for n in group}
     steps: list[tuple[str, Rule, list[Any]]] = []
     for n in group:
@@ -654,7 +668,7 @@ def fixpoint(ctx: Context, name: str, most: int = 10_000) -> None:
     for n in group:
         if bases[n]:
             parts = [body(r, r.clauses) for r in bases[n]]
-            total[n] = _cut(united(parts, list(parts[0].types)))
+            total[n], rows[n] = _counted(_cut(united(parts, list(parts[0].types))))
     if name not in total and not total:
         raise QueryError(f"{name} has no definition that doesn't recur")
     while lacking := sorted(group - set(total)):  # found by calling the others, which tell the types
@@ -682,18 +696,34 @@ def fixpoint(ctx: Context, name: str, most: int = 10_000) -> None:
             names = list(total[n].types)
             old = total[n].df.select(*[F.col(x).alias(f"__{x}") for x in names])
             new[n] = _cut(Frame(every.df.join(old, [same((F.col(x), every.types[x]), (F.col(f"__{x}"), total[n].types[x])) for x in names], "left_anti"), every.types))
-        more = [n for n in group if not new[n].df.isEmpty()]
+        fresh = {}
+        for n in group:
+            new[n], fresh[n] = _counted(new[n])
+        more = [n for n in group if fresh[n]]
         if not more:
             break
         for n in more:  # rounds' tables are read together, and now and then written as one
             total[n] = Frame(total[n].df.unionByName(new[n].df), total[n].types)
             total[n] = _cut(total[n]) if round_ % TOGETHER == TOGETHER - 1 else total[n]
+            rows[n] += fresh[n]
+            total[n] = _weighed(total[n], rows[n])
         delta = new
     else:
         raise QueryError(f"{name} doesn't end after {most} rounds")
     ctx.done.update(total)
 
 
+def _weighed(frame: Frame, rows: int) -> Frame:
+    """A frame that joins don't broadcast if it has MANY rows."""
+    return Frame(frame.df.hint("merge"), frame.types) if rows >= MANY else frame
+
+
+def _counted(frame: Frame) -> tuple[Frame, int]:
+    """_weighed() by its rows, and these."""
+    rows = frame.df.count()
+    return _weighed(frame, rows), rows
+
+
 def _cut(frame: Frame) -> Frame:
     return Frame(cut(frame.df), frame.types)
 

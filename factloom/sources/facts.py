@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from functools import partial, reduce
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +122,10 @@ class LogSource:
         more = [F.struct(*keys).alias("key")] if typed else []
         return rows.select("e", "attr", log_text().alias("v"), tx_of(F.col("t")).alias("tx"), "added", *more)
 
+    def many(self, a: Attribute, rows: int) -> bool:
+        """Whether there may be so many facts of an attribute; by the log's size, as they aren't counted."""
+        return int(self.log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SHARE
+
     def at(self, view: View) -> LogSource:
         return replace(self, view=view)
 
@@ -135,6 +139,10 @@ class Table:
     partition: int
     columns: dict[str, str]  # ident -> SQL expression; references are already entity ids
 
+    @cached_property
+    def rows(self) -> int:
+        return self.frame.count()
+
 
 @dataclass(frozen=True)
 class RelationalSource:
@@ -190,6 +198,10 @@ class RelationalSource:
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    def many(self, a: Attribute, rows: int) -> bool:
+        """Whether the table that has an attribute has so many rows."""
+        return self.table_of(a).rows >= rows
+
     def at(self, view: View) -> RelationalSource:
         if view.kind != "current":
             raise ValueError("wide tables have no history")

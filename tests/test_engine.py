@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import os
 import random
+import re
 
 import pytest
 
@@ -569,6 +570,18 @@ def test_tasks_that_fold_a_log_follow_its_size(spark, monkeypatch):
     assert "Sort" not in plan.split("REPARTITION")[-1]
 
 
+def test_recursion_broadcasts_no_large_table(spark, monkeypatch):
+    """Of a table with MANY rows not even a column that is small in the file is broadcast next to a recursive rule."""
+    from factloom.plans import catalog
+    from factloom.plans import compile as plan
+
+    monkeypatch.setattr(plan, "MANY", 100, raising=False)
+    df = catalog.QUERIES["rule_bound"](spark, "/root/testdata/sf0.001")
+    joins = re.findall(r"\w+Join", df._jdf.queryExecution().sparkPlan().toString())
+    assert joins[0] == "SortMergeJoin"  # with the table; what was found is small and may be broadcast
+    assert sorted(r["y"] for r in df.collect()) == [9, 10, 11, 12, 13, 14]
+
+
 def test_registered_queries_match_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
